@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def digest(*parts: Column) -> Column:
 
 def row_slices(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20):
     """Consecutive slices of ``batch`` of about ``most_bytes`` of text, one row at least each."""
-    sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most_bytes:
