@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, toxicity
+from . import chat, language, quality, toxicity
 from .packing import pack
 from .token_counts import token_counts
 
@@ -43,6 +43,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_packing, op6_chat_format, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_packing, op6_chat_format, op7_quality, op8_language_id, op10_toxicity)}
 
 OP6_SQL = """
 WITH rows AS (
