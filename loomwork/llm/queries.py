@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, quality, toxicity
+from . import chat, embeddings, language, quality, toxicity
 from .packing import pack
 from .token_counts import token_counts
 
@@ -21,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -65,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_packing, op6_chat_format, op7_quality, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_packing, op6_chat_format, op7_quality, op8_language_id, op10_toxicity)}
 
 OP6_SQL = """
 WITH rows AS (
