@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, language, quality, toxicity
+from . import chat, decontamination, embeddings, language, quality, toxicity
 from .packing import pack
 from .token_counts import token_counts
 
@@ -62,6 +62,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -69,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_packing, op6_chat_format, op7_quality, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_packing, op6_chat_format, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)}
 
 OP6_SQL = """
 WITH rows AS (
