@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, language, quality, toxicity
+from . import chat, decontamination, embeddings, language, minhash, quality, toxicity
 from .packing import pack
 from .token_counts import token_counts
 
@@ -25,6 +25,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -74,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op4_packing, op6_chat_format, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_minhash_dedup, op4_packing, op6_chat_format, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)}
 
 OP6_SQL = """
 WITH rows AS (
