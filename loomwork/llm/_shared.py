@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,11 +25,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run inside leave no shuffle files once they are over."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage, survives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
