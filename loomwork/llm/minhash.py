@@ -243,3 +243,16 @@ def near_duplicates(
     ids = docs.select(id_.alias("id"), digest(own).alias("lw_digest"))
     out = ids.join(of, "lw_digest", "left").select("id", F.coalesce("c", "id").alias("c"))
     return out.select(F.col("id").alias(key), F.col("c").alias("class_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of :func:`near_duplicates` the document with
+    the smallest key. Of repeated rows (same key and text) one stays; rows with a null key stay."""
+    found = near_duplicates(docs, key, text, **how)
+    gone = written(found.where(~F.col("kept")).select(F.col(key).alias("lw_gone")).distinct(), "near-duplicates")
+    left = docs.join(gone, F.col(f"`{key}`").cast("long") == F.col("lw_gone"), "left_anti")
+    twice = docs.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`")).count().where("count > 1")
+    if twice.isEmpty():
+        return left
+    named = left.where(F.col(f"`{key}`").isNotNull()).dropDuplicates([key, text])
+    return named.unionByName(left.where(F.col(f"`{key}`").isNull()))
