@@ -82,6 +82,70 @@ def _surroundings(span: int, gram: int):
     return run
 
 
+def equal_windows(h: np.ndarray, left: list[bytes], right: list[bytes], span: int, far: int) -> np.ndarray:
+    """For each suffix (a row) and each ``o`` up to ``far``: whether the window from ``o`` bytes
+    before it, ``span`` long, is also another row's of the same ``h``.
+
+    Rows are sorted by the bytes after and by those before. In either order the rows that share at
+    least so many bytes are a run between two smaller common beginnings of neighbours, so windows
+    are equal if and only if both runs are."""
+    n = len(h)
+    first = [int(x + (1 << 63)).to_bytes(8, "big") for x in h.tolist()]
+    runs = []
+    for side, width in ((right, span), (left, far)):
+        order = multikey_quicksort([a + b.ljust(width, b"\0") for a, b in zip(first, side)])
+        same = common([side[i] for i in order[:-1]], [side[i] for i in order[1:]], width)
+        same[h[order[1:]] != h[order[:-1]]] = -1
+        best = np.maximum(np.append(-1, same), np.append(same, -1))
+        most = np.empty(n, np.int64)
+        most[order] = best
+        runs.append((order, np.append(-1, same), most))
+    (by_r, same_r, most_r), (by_l, same_l, most_l) = runs
+    out = np.zeros((n, far + 1), bool)
+    r, l = np.empty(n, np.int64), np.empty(n, np.int64)
+    for o in range(max(0, span - int(most_r.max())), min(far, int(most_l.max())) + 1):
+        able = np.flatnonzero((most_r >= span - o) & (most_l >= o))
+        if len(able) < 2:
+            continue
+        r[by_r] = np.cumsum(same_r < span - o)
+        l[by_l] = np.cumsum(same_l < o)
+        key = r[able] * (n + 1) + l[able]
+        at = np.argsort(key, kind="stable")
+        twin = key[at[1:]] == key[at[:-1]]
+        out[able[at[1:][twin]], o] = True
+        out[able[at[:-1][twin]], o] = True
+    return out
+
+
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("h", pa.int64()), ("side", pa.int32()), ("part", pa.int32())])
+_FOUND_DDL = "k1 long, k2 int, pos int, lo int, hi int, h long, side int, part int"
+
+
+def _settle(rows: pa.Table, span: int, gram: int) -> pa.Table:
+    """Ranges of ``o`` whose windows occur twice among ``rows``, and the ends of the rows' order."""
+    h = rows["h"].to_numpy()
+    twice = equal_windows(h, rows["left"].to_pylist(), rows["right"].to_pylist(), span, span - gram)
+    edge = np.diff(np.pad(twice, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, lo = np.nonzero(edge == 1)
+    hi = np.nonzero(edge == -1)[1] - 1
+    took = rows.select(["k1", "k2", "pos", "h"]).take(pa.array(row))
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    zero = np.zeros(len(row), np.int32)
+    found = pa.table([took["k1"], took["k2"], took["pos"], pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), took["h"], pa.array(zero), pa.array(zero)], schema=_FOUND)
+    none = [0, 0]
+    ends = pa.table([pa.array(x, t) for x, t in zip((none, none, none, none, none, [h.min(), h.max()], [1, 2], [part, part]), _FOUND.types)], schema=_FOUND)
+    return pa.concat_tables([found, ends])
+
+
+def _settle_range(span: int, gram: int):
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield from _settle(pa.Table.from_batches(rows), span, gram).to_batches()
+
+    return run
+
+
 def _neighbours(span: int, gram: int, rightwards: bool):
     """Sort one range of suffixes and compare each with the next; hand out the ends."""
     far = span - gram
@@ -134,6 +198,24 @@ def _sweep(around: DataFrame, parts: int, span: int, gram: int, rightwards: bool
     return pairs.where("side = 0").select("k1", "k2", "pos", "h", "l", "r").unionByName(across.mapInArrow(_edges(span, gram), "k1 long, k2 int, pos int, h long, l int, r int"))
 
 
+def _settle_large(around: DataFrame, parts: int, span: int, gram: int) -> DataFrame:
+    """As :func:`_settle` for grams with more suffixes than a task should hold: neighbours in both
+    orders, which ranges of any size give, settle most windows; the others are compared by digest."""
+    around = written(around.select(*_ID, "h", "left", "right"), "large-grams")
+    seen = _sweep(around, parts, span, gram, True).unionByName(_sweep(around, parts, span, gram, False))
+    span_of = F.when(F.col("l") + F.col("r") >= span, F.struct((span - F.col("r")).alias("lo"), F.col("l").alias("hi")))
+    best = written(seen.groupBy("h", *_ID).agg(F.max("l").alias("l"), F.max("r").alias("r"), F.collect_set(span_of).alias("sure")), "suffix-bounds")
+    sure = best.select(*_ID, F.explode("sure").alias("s")).select(*_ID, "s.lo", "s.hi")
+    # Between the bounds, outside the sure ones.
+    open_ = best.where(F.col("l") + F.col("r") >= span)
+    unsure = open_.select("h", F.explode(F.filter(F.sequence(span - F.col("r"), F.col("l")), lambda o: ~F.exists("sure", lambda s: (s.lo <= o) & (o <= s.hi)))).alias("o"))
+    asked = written(unsure.distinct(), "open-windows")
+    members = open_.join(asked, "h").where((F.col("o") <= F.col("l")) & (F.col("o") >= span - F.col("r"))).select(*_ID, "h", "o")
+    whole = members.join(around, [*_ID, "h"]).select(*_ID, "h", "o", F.sha2(F.concat(F.expr("substring(left, 1, o)"), F.lit(b"|"), F.expr(f"substring(right, 1, {span} - o)")), 256).alias("w"))
+    equal = whole.groupBy("h", "o", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return sure.unionByName(whole.join(equal, ["h", "o", "w"], "left_semi").select(*_ID, F.col("o").alias("lo"), F.col("o").alias("hi")))
+
+
 def _remove(batches):
     """What is left of a text without its ranges, and how much went."""
     for batch in batches:
@@ -154,7 +236,7 @@ def _remove(batches):
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
 
 
-def repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 200) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 200, in_range: int = 30_000, in_task: int = 20_000) -> DataFrame:
     """For each distinct text (by the hashes ``k1`` and ``k2`` of :func:`identity`) that loses
     bytes: ``n_removed``, ``n_spans``, ``kept`` (what is left) and ``kept_sha256``.
 
@@ -178,22 +260,21 @@ def repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 20
     places = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
     wanted = written(texts.join(places, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("t").alias("t"), F.first("places").alias("places")), "anchored-texts")
     around = written(wanted.select("k1", "k2", "t", "places").mapInArrow(_surroundings(span, gram), "k1 long, k2 int, pos int, h long, left binary, right binary"), "suffixes")
-    parts = max(1, -(-around.count() // 30_000))
-    seen = _sweep(around, parts, span, gram, True).unionByName(_sweep(around, parts, span, gram, False))
-    span_of = F.when(F.col("l") + F.col("r") >= span, F.struct((span - F.col("r")).alias("lo"), F.col("l").alias("hi")))
-    best = written(seen.groupBy("h", *_ID).agg(F.max("l").alias("l"), F.max("r").alias("r"), F.collect_set(span_of).alias("sure")), "suffix-bounds")
-    sure = best.select(*_ID, F.explode("sure").alias("s")).select(*_ID, "s.lo", "s.hi")
-    # Windows that neither order has settled: between the bounds, outside the sure ones.
-    unsure = best.where(F.col("l") + F.col("r") >= span).select("h", *_ID, F.explode(F.filter(F.sequence(span - F.col("r"), F.col("l")), lambda o: ~F.exists("sure", lambda s: (s.lo <= o) & (o <= s.hi)))).alias("o"))
-    asked = written(unsure.select("h", "o").distinct(), "open-windows")
-    settled = None
-    if not asked.isEmpty():
-        members = best.where(F.col("l") + F.col("r") >= span).join(asked, "h").where((F.col("o") <= F.col("l")) & (F.col("o") >= span - F.col("r"))).select(*_ID, "h", "o")
-        whole = members.join(around, [*_ID, "h"]).select(*_ID, "h", "o", F.sha2(F.concat(F.expr("substring(left, 1, o)"), F.lit(b"|"), F.expr(f"substring(right, 1, {span} - o)")), 256).alias("w"))
-        equal = whole.groupBy("h", "o", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        settled = whole.join(equal, ["h", "o", "w"], "left_semi").select(*_ID, F.col("o").alias("lo"), F.col("o").alias("hi"))
+    parts = max(1, -(-around.count() // in_range))
+    salt = F.xxhash64(*_ID)
+    ranged = around.select(*_ID, "h", "left", "right").repartitionByRange(parts, "h", "right", "left", salt)
+    settled = written(ranged.mapInArrow(_settle_range(span, gram), _FOUND_DDL), "settled-windows")
+    sure = settled.where("side = 0").select(*_ID, "lo", "hi")
+    # Grams whose suffixes lie on both sides of a boundary: once more, together.
+    ends = settled.where("side > 0").withColumn("next", F.lead("h").over(Window.orderBy("part", "side")))  # two rows a range
+    split = written(ends.where("side = 2 and next = h").select("h").distinct().join(around.groupBy("h").agg(F.count("*").alias("n")), "h"), "split-grams")
+    together = around.join(split.where(F.col("n") <= in_task).select("h"), "h").select(*_ID, "h", "left", "right")
+    again_sure = together.groupBy("h").applyInArrow(lambda t: _settle(t, span, gram), _FOUND_DDL).where("side = 0").select(*_ID, "lo", "hi")
+    sure = sure.unionByName(again_sure)
+    large = split.where(F.col("n") > in_task).select("h")
+    if not large.isEmpty():
+        sure = sure.unionByName(_settle_large(around.join(large, "h"), parts, span, gram))
     all_ = twins.select(*_ID, "lo", "hi").unionByName(sure)
-    all_ = all_.unionByName(settled) if settled is not None else all_
     ranges = all_.select("k1", "k2", (F.col("pos") - F.col("hi")).alias("b"), (F.col("pos") - F.col("lo") + span).alias("e"))
     # Windows may overlap in thousands of ways; keep the farthest end for each beginning.
     ranges = ranges.groupBy("k1", "k2", "b").agg(F.max("e").alias("e")).groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
@@ -212,7 +293,7 @@ def identity(text: str) -> list:
     return [F.xxhash64(F.col(text), F.lit(1)).alias("k1"), F.hash(F.col(text), F.lit(2)).alias("k2")]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 200, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 200, with_text: bool = True, **sizes) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``with_text``
     the column ``text`` becomes what is left.
 
@@ -223,20 +304,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: i
 
     Which suffixes can matter: of every ``span`` bytes the place of the least hash of ``gram``
     bytes is an anchor, so equal strings have equal anchors; those whose gram occurs once are
-    dropped by a join. The others carry the bytes that a window around them can hold. Sampled
-    splitters range-partition them by their leading bytes, each range is sorted by multikey
-    quicksort, and neighbours, also those across the ranges' boundaries, are compared; so once
-    more in the order of the bytes before the anchor. That gives each anchor the longest match on
-    either side, and windows that surely repeat. What lies between is settled by comparing those
-    windows themselves. A hot passage's equal surroundings are one suffix, and splitters hold a
-    salt, so no range holds more than its share.
+    dropped by a join. The others carry the bytes that a window around them can hold; equal
+    surroundings are one suffix. Sampled splitters range-partition them by gram and leading bytes
+    (with a salt, so that no range holds more than its share, about ``in_range``), each range is
+    sorted by multikey quicksort, after and before the anchor, and the common beginnings of
+    neighbours tell which windows are equal. A gram that lies on both sides of a boundary is
+    settled once more with all its suffixes, in one task up to ``in_task`` of them, and beyond by
+    neighbours in both orders, also across boundaries, and by comparing the windows themselves
+    where these leave it open.
 
     A null or empty text stays as an empty one with nothing removed. Repeated rows are copies.
     Where a cut parts a character, its other bytes go from the text column (not from the hash).
     No rows give no rows; other columns stay, those named like the new ones are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    done = repeats(docs, text, span, gram)
+    done = repeats(docs, text, span, gram, **sizes)
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keep = [c for c in docs.columns if c not in new and (with_text or c != text)]
     k1, k2 = F.xxhash64(own, F.lit(1)), F.hash(own, F.lit(2))
