@@ -61,18 +61,25 @@ def unquote(text: Column) -> Column:
     return F.replace(inner, F.lit("\x00\x00"), F.lit("\\"))
 
 
-def _plain(x: Column) -> tuple[Column, Column, Column]:
-    """Sign, digits and decimal exponent of the shortest form that reads as the same double."""
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _with_digits(x: Column, then) -> Column:
+    """``then(sign, digits, point)`` of the shortest form that reads as the same finite double; the
+    point stands after the first ``point`` digits."""
+
+    def split(t: Column) -> Column:
+        mantissa = F.regexp_replace(F.substring_index(t, "e", 1), "[-.]", "")
+        return F.struct(
+            F.when(t.startswith("-"), "-").otherwise("").alias("sign"), F.regexp_replace(mantissa, "(?<=.)0+$", "").alias("digits"),
+            (F.substring_index(t, "e", -1).try_cast("int") + 1).alias("point"),
+        )
+
     forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
-    t = F.upper(F.coalesce(*(F.when(form.try_cast("double") == x, form) for form in forms), x.cast("string")))
-    t = F.regexp_replace(F.regexp_replace(t, r"E\+", "E"), r"E(-?)0+(?=[0-9])", "E$1")
-    sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    t = F.regexp_replace(t, "^-", "")
-    mantissa, power = F.substring_index(t, "E", 1), F.coalesce(F.regexp_extract(t, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "^0$", "")
-    digits = F.concat(whole, part)
-    lead = F.length(digits) - F.length(F.regexp_replace(digits, "^0+(?=.)", ""))
-    return sign, F.regexp_replace(F.regexp_replace(digits, "^0+(?=.)", ""), "(?<=.)0+$", ""), F.length(whole) + power - lead
+    shortest = F.coalesce(*(_let(form, lambda f: F.when(f.try_cast("double") == x, f)) for form in forms[:2]), forms[2])
+    return _let(shortest, lambda t: _let(split(t), lambda s: then(s.sign, s.digits, s.point)))
 
 
 def _decimal(digits: Column, point: Column) -> Column:
@@ -91,15 +98,17 @@ def _negative_zero(x: Column) -> Column:
 
 def float_text(x: Column) -> Column:
     """Shortest decimal form without exponent or needless point; nan, inf, -inf, -0."""
-    sign, digits, point = _plain(x)
     special = F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).when(_negative_zero(x), F.lit("-0")).when(x == 0, F.lit("0"))
-    return F.coalesce(special, F.concat(sign, _decimal(digits, point)))
+    return F.coalesce(special, _with_digits(x, lambda sign, digits, point: F.concat(sign, _decimal(digits, point))))
 
 
 def float_json(x: Column) -> Column:
     """As JSON: an exponent only outside 1e-6 to 1e21, quoted names where not finite."""
-    sign, digits, point = _plain(x)
     special = F.when(F.isnan(x), F.lit('"NaN"')).when(x == float("inf"), F.lit('"Infinity"')).when(x == float("-inf"), F.lit('"-Infinity"')).when(_negative_zero(x), F.lit("-0")).when(x == 0, F.lit("0"))
-    short = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2), F.length(digits)))).otherwise(F.lit("")), F.lit("e"), (point - 1).cast("string"))
-    size = F.abs(x)
-    return F.coalesce(special, F.concat(sign, F.when((size >= 1e-6) & (size < 1e21), _decimal(digits, point)).otherwise(short)))
+
+    def form(sign: Column, digits: Column, point: Column) -> Column:
+        rest = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2), F.length(digits)))).otherwise(F.lit(""))
+        short = F.concat(F.substring(digits, 1, 1), rest, F.lit("e"), (point - 1).cast("string"))
+        return F.concat(sign, F.when(point.between(-5, 21), _decimal(digits, point)).otherwise(short))
+
+    return F.coalesce(special, _with_digits(x, form))
