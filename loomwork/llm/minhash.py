@@ -119,7 +119,7 @@ def _sign(weights, bands: int, rows: int):
                         key[:, b] = h.view(np.int64)
                 take = pa.array(full)
                 lists = lambda m, n: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, n, dtype=np.int32)), pa.array(m.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), lists(key, bands), lists(sig, bands * rows)], ["node", "lw_digest", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), lists(key, bands), lists(sig, bands * rows), pa.array(np.add.reduceat(weight, first[:-1][full]))], ["node", "lw_digest", "keys", "sig", "total"])
 
     return run
 
@@ -144,28 +144,47 @@ def _verify(weights, threshold: float):
     return run
 
 
-def _across(least: int):
-    """Pairs of one block of rows outside the hub's component and one block of all rows, of
-    different components, whose signatures agree in ``least`` samples."""
+def _across(weights, threshold: float, least: int):
+    """Links between one block of rows outside the hub's component and one block of all rows.
+
+    Only rows of different components are held against each other, those whose signatures agree
+    most first, and what a link joins is one component from then on: so the links are a forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, own = (table[c].to_numpy() for c in ("node", "comp", "own"))
+        node, comp, own, total = (table[c].to_numpy() for c in ("node", "comp", "own", "total"))
         sig = np.array(table["sig"].to_pylist(), np.int32)
+        s, v, first = weights.value.sets(table["t"].combine_chunks())
+        cut = lambda k: (s[first[k] : first[k + 1]], v[first[k] : first[k + 1]])
         p, q = np.flatnonzero(own), np.flatnonzero(~own)
-        pairs = []
+        maybe = []
         for i in p:
-            same = (sig[q] == sig[i]).sum(axis=1) >= least
-            j = q[same & (comp[q] != comp[i])]
-            pairs.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]))
-        out = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return pa.table({"a": out[0], "b": out[1]})
+            agree = (sig[q] == sig[i]).sum(axis=1)
+            sizes = np.minimum(total[q], total[i]) >= threshold * np.maximum(total[q], total[i]) - 1e-9
+            at = np.flatnonzero((agree >= least) & sizes & (comp[q] != comp[i]))
+            maybe.append(np.stack([agree[at], np.full(len(at), i), q[at]]))
+        maybe = np.concatenate(maybe, axis=1) if maybe else np.zeros((3, 0), np.int64)
+        maybe = maybe[:, np.argsort(-maybe[0], kind="stable")]
+        lead: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in lead:
+                x = lead[x]
+            return x
+
+        links = []
+        for i, j in maybe[1:].T.tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and weighted_jaccard(*cut(i), *cut(j)) >= threshold:
+                lead[max(a, b)] = min(a, b)
+                links.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
-    bands: int = 10, rows: int = 3, idf_share: float = 0.25, block: int = 512,
+    bands: int = 10, rows: int = 3, idf_share: float = 0.25, block: int = 256,
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``class_id`` (the smallest key of its group), ``kept``.
 
@@ -179,11 +198,12 @@ def near_duplicates(
     that agree in a whole band share a bucket. First every member of a bucket is held against the
     bucket's smallest key, so that a group of copies costs a pair for each member. Then, in
     buckets whose members have not all become one component, members outside the smallest key's
-    component are held against all others of other components, in blocks. A pair goes on to its
-    texts only if its signatures agree in 2 samples of 5 (at similarity 0.8 all but one pair in a
-    million), and is linked only by the exact similarity of the whole texts. No bucket, and no
-    number of partners, is cut off. At similarity 0.8 a pair of texts misses all 10 bands once in
-    1,300 times, at 0.9 once in 400,000.
+    component are held against all others of other components, in blocks of ``block`` whose tasks
+    return a forest of links, not pairs. A pair's texts are compared only if its signatures agree
+    in 2 samples of 5 (at similarity 0.8 all but one pair in a million) and its total weights
+    allow the threshold; only the exact similarity of the whole texts makes a link. No bucket, and
+    no number of partners, is cut off. At similarity 0.8 a pair of texts misses all 10 bands once
+    in 1,300 times, at 0.9 once in 400,000.
 
     A null or empty text, or one without words, has no shingle: it is a group of its own, as is a
     row with a null key (null class, kept). Shorter texts have one shingle of all words. Rows that
@@ -199,8 +219,8 @@ def near_duplicates(
     df = np.zeros(1 << DF_BITS)
     df[counted["cell"]] = counted["n"]
     weights = spark.sparkContext.broadcast(Weights(damped_idf(df, n, idf_share), size))
-    signed = rows_.where("id is not null").mapInArrow(_sign(weights, bands, rows), "node long, lw_digest binary, keys array<long>, sig array<int>")
-    nodes = signed.groupBy("lw_digest").agg(F.min("node").alias("node"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    signed = rows_.where("id is not null").mapInArrow(_sign(weights, bands, rows), "node long, lw_digest binary, keys array<long>, sig array<int>, total double")
+    nodes = signed.groupBy("lw_digest").agg(F.min("node").alias("node"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("total").alias("total"))
     nodes = written(nodes, "signatures")
     # Buckets of two or more nodes, and their smallest.
     met = nodes.select("node", F.explode("keys").alias("bucket")).distinct()
@@ -209,35 +229,38 @@ def near_duplicates(
     least = bands * rows * 2 // 5
     texts = docs.select(id_.alias("id"), digest(own).alias("lw_digest"), own.alias("t"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "candidates")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        one = nodes.select("node", "lw_digest").join(named, "node")
-        whole = texts.join(one, (texts["id"] == one["node"]) & (texts["lw_digest"] == one["lw_digest"]), "left_semi").groupBy("id", "lw_digest").agg(F.first("t").alias("t"))
-        whole = written(whole.select("id", "t"), "candidate-texts")
-        both = pairs.join(whole.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(whole.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(weights, threshold), "a long, b long").distinct(), "links")
-
-    sigs = nodes.select("node", "sig")
-    star = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    def texts_of(named: DataFrame, name: str) -> DataFrame:
+        one = nodes.select("node", "lw_digest").join(named.distinct(), "node")
+        whole = texts.join(one, (texts["id"] == one["node"]) & (texts["lw_digest"] == one["lw_digest"]), "left_semi")
+        return written(whole.groupBy("id", "lw_digest").agg(F.first("t").alias("t")).select(F.col("id").alias("node"), "t"), name)
+
+    marks = nodes.select("node", "sig", "total")
+    pairs = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    for x in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("total").alias(f"n{x}")), x)
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    links = linked(star.where(agree >= least).select("a", "b"))
-    # What is still apart in a bucket of three or more.
+    sizes = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    pairs = written(pairs.where((agree >= least) & sizes).select("a", "b").distinct(), "candidates")
+    whole = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "candidate-texts")
+    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(whole.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    links = written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(weights, threshold), "a long, b long").distinct(), "links")
+    # What is still apart in a bucket of three or more; buckets with the same members are one.
     comp = components(links)
     placed = met.where("n > 2").join(comp, "node", "left").select("bucket", "node", "hub", "n", F.coalesce("component", "node").alias("comp"))
     hub_comp = placed.where("node = hub").select("bucket", F.col("comp").alias("hub_comp"))
-    placed = placed.join(hub_comp, "bucket")
-    split = placed.where("comp <> hub_comp").groupBy("bucket").agg(F.count("*").alias("out")).where("out > 0")
-    placed = placed.join(split, "bucket").join(sigs, "node").withColumns({"nb": F.ceil(F.col("out") / block).cast("int"), "mb": F.ceil(F.col("n") / block).cast("int")})
-    salt = lambda m: F.pmod(F.xxhash64("node", F.lit(5)), F.col(m)).cast("int")
-    cols = ["bucket", "node", "comp", "sig"]
-    outside = placed.where("comp <> hub_comp").select(*cols, F.lit(True).alias("own"), salt("nb").alias("x"), F.explode(F.expr("sequence(0, mb - 1)")).alias("y"))
-    inside = placed.select(*cols, F.lit(False).alias("own"), F.explode(F.expr("sequence(0, nb - 1)")).alias("x"), salt("mb").alias("y"))
-    more = written(outside.unionByName(inside).groupBy("bucket", "x", "y").applyInArrow(_across(least), "a long, b long").distinct(), "more-candidates")
-    if not more.isEmpty():
-        links = links.unionByName(linked(more))
-        comp = components(links)
+    outside = F.count_if(F.col("comp") != F.col("hub_comp"))
+    split = placed.join(hub_comp, "bucket").groupBy("bucket", "hub", "hub_comp", "n").agg(outside.alias("out"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).where("out > 0")
+    split = split.groupBy("hub", "n", "all").agg(F.min(F.struct("bucket", "hub_comp", "out")).alias("s")).select("s.*")
+    placed = written(placed.join(split, "bucket"), "split-buckets")
+    if not placed.isEmpty():
+        left = texts_of(placed.select("node"), "split-texts").join(marks, "node")
+        placed = placed.withColumns({"nb": F.ceil(F.col("out") / block).cast("int"), "mb": F.ceil(F.col("n") / block).cast("int")})
+        salt = lambda m: F.pmod(F.xxhash64("node", F.lit(5)), F.col(m)).cast("int")
+        cols = ["node", "bucket", "comp"]
+        a = placed.where("comp <> hub_comp").select(*cols, F.lit(True).alias("own"), salt("nb").alias("x"), F.explode(F.expr("sequence(0, mb - 1)")).alias("y"))
+        b = placed.select(*cols, F.lit(False).alias("own"), F.explode(F.expr("sequence(0, nb - 1)")).alias("x"), salt("mb").alias("y"))
+        more = a.unionByName(b).join(left, "node").groupBy("bucket", "x", "y").applyInArrow(_across(weights, threshold, least), "a long, b long")
+        comp = components(links.unionByName(written(more, "more-links")))
     # Copies of a text without words stay apart.
     of = nodes.select("lw_digest", "node").join(comp, "node", "left").select("lw_digest", F.coalesce("component", "node").alias("c"))
     ids = docs.select(id_.alias("id"), digest(own).alias("lw_digest"))
