@@ -264,7 +264,7 @@ def near_duplicates(
     # Copies of a text without words stay apart.
     of = nodes.select("lw_digest", "node").join(comp, "node", "left").select("lw_digest", F.coalesce("component", "node").alias("c"))
     ids = docs.select(id_.alias("id"), digest(own).alias("lw_digest"))
-    out = ids.join(of, "lw_digest", "left").select("id", F.coalesce("c", "id").alias("c"))
+    out = ids.join(of, "lw_digest", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("c"))
     return out.select(F.col("id").alias(key), F.col("c").alias("class_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 

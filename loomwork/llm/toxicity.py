@@ -26,6 +26,7 @@ NEAR = 5
 
 _WORD = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"[^\W\d_]+[0-9@$*]+[^\W\d_]")
+_DISGUISED = re.compile(r"[\w@$*]*[^\W\d_][0-9@$*]+[^\W\d_][\w@$*]*")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
@@ -42,7 +43,7 @@ def _terms(word: str) -> tuple[str, ...]:
 def plain_words(text: str) -> list[str]:
     low = text.lower()
     if _MIXED.search(low):
-        low = _MIXED.sub(lambda m: m.group().replace("*", "").translate(LEET), low)
+        low = _DISGUISED.sub(lambda m: m.group().replace("*", "").translate(LEET), low)
     return _WORD.findall(low)
 
 
