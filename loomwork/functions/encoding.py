@@ -77,8 +77,8 @@ def _with_digits(x: Column, then) -> Column:
             (F.substring_index(t, "e", -1).try_cast("int") + 1).alias("point"),
         )
 
-    forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
-    shortest = F.coalesce(*(_let(form, lambda f: F.when(f.try_cast("double") == x, f)) for form in forms[:2]), forms[2])
+    forms = [F.format_string(f"%.{n}e", x) for n in (0, 14, 15, 16)]
+    shortest = F.coalesce(*(_let(form, lambda f: F.when(f.try_cast("double") == x, f)) for form in forms[:-1]), forms[-1])
     return _let(shortest, lambda t: _let(split(t), lambda s: then(s.sign, s.digits, s.point)))
 
 
