@@ -28,7 +28,8 @@ def token_counts(docs: DataFrame, text: str = "text", cache: str | None = None,
 
     A text and the tokenizer's version make a digest. Digests that the table ``cache`` (a Parquet
     path; None: a new, empty one) holds are joined to their stored counts; of the others each is
-    encoded once and appended. A null text counts as an empty one and has 0 tokens; repeated rows
+    encoded once and appended, so each digest is there once (one job at a time may write to a
+    cache). A null text counts as an empty one and has 0 tokens; repeated rows
     stay; an empty ``docs`` gives no rows. Columns of ``docs`` keep their names, ``out`` replaces
     one of the same name. Texts meet in a shuffle once, after the map side has dropped repeats, so
     a text that a third of the rows share travels once a task; the counts' join has fixed-width
@@ -48,6 +49,6 @@ def token_counts(docs: DataFrame, text: str = "text", cache: str | None = None,
         wanted = wanted.join(known.select("lw_digest"), "lw_digest", "left_anti")
     misses = wanted.dropDuplicates(["lw_digest"])
     misses.mapInArrow(_encoder(bpe), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).dropDuplicates(["lw_digest"]).withColumnRenamed("lw_tokens", "lw_count")
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).withColumnRenamed("lw_tokens", "lw_count")
     names = [c for c in docs.columns if c != out]
     return keyed.join(stored, "lw_digest", "left").select(*(F.col(f"`{c}`") for c in names), F.col("lw_count").alias(out))
