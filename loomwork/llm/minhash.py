@@ -240,7 +240,7 @@ def near_duplicates(
         pairs = pairs.join(marks.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("total").alias(f"n{x}")), x)
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     sizes = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    pairs = written(pairs.where((agree >= least) & sizes).select("a", "b").distinct(), "candidates")
+    pairs = written(pairs.where((agree >= least) & sizes).select("a", "b"), "candidates")
     whole = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "candidate-texts")
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(whole.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     links = written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(weights, threshold), "a long, b long").distinct(), "links")
