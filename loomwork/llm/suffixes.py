@@ -249,11 +249,14 @@ def repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 20
     found = written(texts.mapInArrow(_find(span, gram), "k1 long, k2 int, pos int, h long, c1 long, c2 long"), "anchors")
     # Anchors whose gram also begins at another place; places of equal texts are one.
     place = F.xxhash64(*_ID)
-    grams = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    again = written(found.join(grams, "h", "left_semi").dropDuplicates(["h", *_ID]), "repeated-anchors")
+    grams = written(found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h"), "repeated-grams")
+    both = written(found.join(grams, "h", "left_semi"), "anchors-of-repeated-grams")  # no aggregate over it: Spark can split a hot gram
     forget(found)
+    again = written(both.dropDuplicates(["h", *_ID]), "repeated-anchors")
+    forget(both)
     # Surroundings that occur twice settle all windows around the anchor; one stands for them.
     full = again.where("c1 <> 0").groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*_ID)).alias("first")).where("n > 1")
+    full = written(full, "repeated-surroundings")
     twins = again.join(full, ["h", "c1", "c2"]).select(*_ID, F.lit(0).alias("lo"), F.lit(far).alias("hi"), F.struct(*_ID).eqNullSafe(F.col("first")).alias("stands"))
     twins = written(twins, "twin-anchors")
     open_ = again.select(*_ID, "h").join(twins.where("not stands").select(*_ID), _ID, "left_anti")
