@@ -84,6 +84,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_minhash_dedup, op4_packing, op5_suffix_dedup, op6_chat_format, op7_quality, op8_language_id, op9_decontamination, op10_toxicity)}
 
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.n)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings
+  LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
+  LEFT JOIN (SELECT n AS node, min(c) AS component_id FROM reach GROUP BY n) ON node = vec_id
+"""
+
 OP6_SQL = """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -105,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op6_chat_format": OP6_SQL}
