@@ -44,34 +44,66 @@ def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - done :][: len(x) - width + 1]) if done < width else out
 
 
+REPEATS = 4
+
+
+def inside_runs(h: np.ndarray, p: np.ndarray, gram: int) -> np.ndarray:
+    """For each anchor ``p`` the period of the text around it, if its gram comes again at that
+    distance, of at most ``gram``, :data:`REPEATS` times on either side; else 0."""
+    gap = np.zeros(len(p), np.int64)
+    near = (np.diff(p) <= gram) & (h[p[1:]] == h[p[:-1]])
+    gap[:-1][near] = np.diff(p)[near]
+    for k in range(1, REPEATS + 1):
+        at = np.flatnonzero(gap)
+        low, high = p[at] - k * gap[at], p[at] + k * gap[at]
+        ok = (low >= 0) & (high < len(h))
+        at_low, at_high = np.where(ok, low, 0), np.where(ok, high, 0)
+        gap[at[~(ok & (h[at_low] == h[p[at]]) & (h[at_high] == h[p[at]]))]] = 0
+    return gap
+
+
 def anchors(column: pa.Array, span: int, gram: int):
     """For texts of ``span`` bytes and more: text, place, hash of the anchor's ``gram`` bytes, and
     128 bits for its surroundings (``span - gram`` bytes before it to ``span`` after its start; 0
-    where the text is too short for that).
+    where the text is too short for that). And, of periodic runs: text, begin, end.
 
     An anchor is the place of the least hash among the grams of some ``span`` bytes. Two equal
     strings of ``span`` bytes have equal grams, so both have an anchor at the same place.
+
+    Where text repeats itself with a short period, each period has an anchor. Those with
+    :data:`REPEATS` equal grams on both sides are left out. Strings of ``span`` bytes that have no
+    other anchors lie in the run and are equal to their neighbours a period on, so the run stands
+    for them; strings that reach over an end of a run hold its first or last grams, and strings
+    in a run too short for a shift hold one of its first grams, all of which stay.
     """
     raw, at = text_bytes(column)
     one, two = Rolling(raw, 0), Rolling(raw, 1)
     width = span - gram + 1
-    found = []
+    found, runs = [], []
     for d in np.flatnonzero(np.diff(at) >= span):
         begins = np.arange(at[d], at[d + 1] - gram + 1)
         h = one.of(begins, begins + gram)
-        low = least_in_windows(h, width)
         # A gram is an anchor if it is the minimum of a window that holds it.
-        best = _most_in_windows(low, width, len(h))
-        p = np.flatnonzero(h == best)
+        p = np.flatnonzero(h == _most_in_windows(least_in_windows(h, width), width, len(h)))
+        gap = inside_runs(h, p, gram)
+        if gap.any():
+            left_out = np.flatnonzero(gap)
+            new = np.append(True, (np.diff(left_out) > 1) | (np.diff(gap[left_out]) != 0) | (h[p[left_out[1:]]] != h[p[left_out[:-1]]]))
+            first, last = left_out[new], left_out[np.append(np.flatnonzero(new)[1:] - 1, len(left_out) - 1)]
+            b, e = p[first] - REPEATS * gap[first], p[last] + REPEATS * gap[first] + gram
+            long = e - b >= span + gap[first]
+            runs.append((np.full(int(long.sum()), d), b[long], e[long]))
+            p = p[gap == 0]
         found.append((np.full(len(p), d), p, h[p]))
+    z = np.zeros(0, np.int64)
+    run = tuple(np.concatenate(x) for x in zip(*runs)) if runs else (z, z, z)
     if not found:
-        z = np.zeros(0, np.int64)
-        return z, z, z.view(U), z.view(U), z.view(U)
+        return z, z, z.view(U), z.view(U), z.view(U), run
     of, p, h = (np.concatenate(x) for x in zip(*found))
     size = np.diff(at)[of]
     whole = (p >= span - gram) & (p + span <= size)
     lo, hi = at[of] + np.where(whole, p - (span - gram), p), at[of] + np.where(whole, p + span, p)
-    return of, p, h, np.where(whole, one.of(lo, hi) | U(1), U(0)), np.where(whole, two.of(lo, hi), U(0))
+    return of, p, h, np.where(whole, one.of(lo, hi) | U(1), U(0)), np.where(whole, two.of(lo, hi), U(0)), run
 
 
 def _most_in_windows(low: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -54,14 +54,21 @@ def common(a: list[bytes], b: list[bytes], width: int) -> np.ndarray:
     return np.minimum(first, np.minimum(n, m))
 
 
+_ANCHOR = "k1 long, k2 int, pos int, upto int, h long, c1 long, c2 long"
+
+
 def _find(span: int, gram: int):
+    """A row for each anchor, with ``upto`` -1, and one for each periodic run, with its end."""
+
     def run(batches):
         for batch in batches:
             for part in row_slices(batch, 2):
-                of, p, h, c1, c2 = anchors(part.column(2), span, gram)
-                take = pa.array(of)
-                long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(p.astype(np.int32)), long(h), long(c1), long(c2)], ["k1", "k2", "pos", "h", "c1", "c2"])
+                of, p, h, c1, c2, (run_of, begin, end) = anchors(part.column(2), span, gram)
+                take = pa.array(np.concatenate([of, run_of]))
+                place = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
+                long = lambda x: pa.array(np.concatenate([np.ascontiguousarray(x).view(np.int64), np.zeros(len(end), np.int64)]))
+                cols = [part.column(0).take(take), part.column(1).take(take), place(p, begin), place(np.full(len(p), -1), end), long(h), long(c1), long(c2)]
+                yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "pos", "upto", "h", "c1", "c2"])
 
     return run
 
@@ -246,12 +253,14 @@ def repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 20
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).select(*identity("t"), "t")
     far = span - gram
     copies = written(texts.groupBy("k1", "k2").agg(F.count("*").alias("n")), "text-copies")
-    found = written(texts.mapInArrow(_find(span, gram), "k1 long, k2 int, pos int, h long, c1 long, c2 long"), "anchors")
+    marked = written(texts.mapInArrow(_find(span, gram), _ANCHOR), "anchors")
+    runs = written(marked.where("upto >= 0").select("k1", "k2", F.col("pos").alias("b"), F.col("upto").alias("e")).distinct(), "periodic-runs")
+    found = marked.where("upto < 0").drop("upto")
     # Anchors whose gram also begins at another place; places of equal texts are one.
     place = F.xxhash64(*_ID)
     grams = written(found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h"), "repeated-grams")
     both = written(found.join(grams, "h", "left_semi"), "anchors-of-repeated-grams")  # no aggregate over it: Spark can split a hot gram
-    forget(found)
+    forget(marked)
     again = written(both.dropDuplicates(["h", *_ID]), "repeated-anchors")
     forget(both)
     # Surroundings that occur twice settle all windows around the anchor; one stands for them.
@@ -279,6 +288,7 @@ def repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: int = 20
         sure = sure.unionByName(_settle_large(around.join(large, "h"), parts, span, gram))
     all_ = twins.select(*_ID, "lo", "hi").unionByName(sure)
     ranges = all_.select("k1", "k2", (F.col("pos") - F.col("hi")).alias("b"), (F.col("pos") - F.col("lo") + span).alias("e"))
+    ranges = ranges.unionByName(runs)
     # Windows may overlap in thousands of ways; keep the farthest end for each beginning.
     ranges = ranges.groupBy("k1", "k2", "b").agg(F.max("e").alias("e")).groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
     ranges = written(ranges, "repeat-ranges")
@@ -307,7 +317,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = 400, gram: i
 
     Which suffixes can matter: of every ``span`` bytes the place of the least hash of ``gram``
     bytes is an anchor, so equal strings have equal anchors; those whose gram occurs once are
-    dropped by a join. The others carry the bytes that a window around them can hold; equal
+    dropped by a join. Text that repeats itself with a short period keeps the anchors at both ends,
+    and stands for its own windows. The others carry the bytes that a window around them can hold; equal
     surroundings are one suffix. Sampled splitters range-partition them by gram and leading bytes
     (with a salt, so that no range holds more than its share, about ``in_range``), each range is
     sorted by multikey quicksort, after and before the anchor, and the common beginnings of

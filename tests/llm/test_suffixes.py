@@ -2,12 +2,14 @@
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomwork.llm import suffixes
+from loomwork.llm._anchors import anchors
 
 SCHEMA = "doc_id long, text string"
 
@@ -56,6 +58,51 @@ def test_against_all_windows(spark, sizes):
     assert sum(v[1] for v in got.values()) > 1000
 
 
+def periodic(seed):
+    rng = random.Random(seed)
+    units = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(2)]
+    texts = []
+    for _ in range(rng.randint(2, 6)):
+        t = ""
+        for _ in range(rng.randint(1, 4)):
+            t += "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))
+            u = rng.choice(units)
+            t += (u * 200)[rng.randrange(len(u)) :][: rng.randint(0, 200)]
+        texts.append(t)
+    return texts
+
+
+@pytest.mark.parametrize("span,gram", [(40, 20), (48, 24), (64, 32)])
+def test_anchors_of_periodic_texts(span, gram):
+    """Every string that occurs twice lies in a run, or shares an anchor's place with another."""
+    for seed in range(60):
+        texts = periodic(seed)
+        of, p, _, _, _, (run_of, begin, end) = anchors(pa.array(texts), span, gram)
+        held, runs, windows = defaultdict(set), defaultdict(list), defaultdict(list)
+        for d, x in zip(of.tolist(), p.tolist()):
+            held[d].add(x)
+        for d, b, e in zip(run_of.tolist(), begin.tolist(), end.tolist()):
+            runs[d].append((b, e))
+        for d, t in enumerate(texts):
+            for s in range(len(t) - span + 1):
+                windows[t[s : s + span]].append((d, s))
+        for places in windows.values():
+            inside = [any(b <= s and s + span <= e for b, e in runs[d]) for d, s in places]
+            if len(places) == 1:
+                assert not inside[0]
+                continue
+            at = [{x - s for x in held[d] if s <= x <= s + span - gram} for d, s in places]
+            for k in range(len(places)):
+                assert inside[k] or any(at[k] & at[j] for j in range(len(places)) if j != k)
+
+
+def test_periodic_texts_against_all_windows(spark):
+    texts = [t for seed in range(12) for t in periodic(seed)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, span=64, gram=32, with_text=False).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 64)
+
+
 def test_equal_windows_by_runs():
     rng = random.Random(2)
     base = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(6)]
