@@ -58,8 +58,8 @@ def ordered_batch(df: DataFrame, seq: str, result: Column, failed: Column) -> Da
     """Rows with ``result`` up to the first (by ``seq``) that fails: a failure shows at its own
     place, after everything before it has come out. Work beyond it is dropped."""
     done = df.withColumns({"result": result, "lw_failed": F.coalesce(failed, F.lit(False))})
-    stop = done.where("lw_failed").agg(F.min(seq).alias("lw_stop"))  # one row
-    return done.crossJoin(F.broadcast(stop)).where(F.col("lw_stop").isNull() | (F.col(seq) < F.col("lw_stop"))).drop("lw_failed", "lw_stop")
+    stop = done.where("lw_failed").agg(F.min(seq)).first()[0]  # one number
+    return (done if stop is None else done.where(F.col(seq) < F.lit(stop))).drop("lw_failed")
 
 
 def longest_first(df: DataFrame, key: str, item: str, size: str, bins: int) -> DataFrame:

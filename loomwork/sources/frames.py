@@ -1,5 +1,6 @@
 """Files of concatenated frames as a Python data source: ``framed``.
 
+``path`` is local or a URI that pyarrow opens; :func:`read_frames` reads whatever Spark can.
 Options: ``path``; ``framing`` is ``standard``, ``packed`` (the whole file is packed) or ``flat``
 (one unframed segment a file). Rows: ``file``, ``seq`` (from 0 in the file), ``segments``.
 """
@@ -10,6 +11,8 @@ import struct
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.frames import MAX_SEGMENTS, MAX_WORDS, pack_words, unpack_words
@@ -61,6 +64,31 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def frames_of_file(raw: bytes, framing: str, name: str):
+    """The messages of one file, each a list of segments."""
+    if framing == "flat":
+        if not raw or len(raw) % 8:
+            raise ValueError(f"{name} is not a whole number of words")
+        return iter([[raw]])
+    if framing == "packed":
+        raw = unpack_words(raw)
+        if raw is None:
+            raise ValueError(f"{name} ends within a packed word")
+    return split_frames(raw)
+
+
+def read_frames(spark: SparkSession, path: str, framing: str = "standard") -> DataFrame:
+    """The rows of the source by way of Spark's own file reader, for stores that only it opens."""
+
+    def split(batches):
+        for batch in batches:
+            for name, raw in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                rows = [{"file": name, "seq": k, "segments": s} for k, s in enumerate(frames_of_file(raw, framing, name))]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("seq", pa.int64()), ("segments", pa.list_(pa.binary()))]))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, SCHEMA)
+
+
 class FramedReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.framing = options["path"], options.get("framing", "standard")
@@ -79,16 +107,7 @@ class FramedReader(DataSourceReader):
         where, _ = _filesystem(self.path)
         with where.open_input_stream(partition.path) as f:
             raw = f.read()
-        if self.framing == "flat":
-            if not raw or len(raw) % 8:
-                raise ValueError(f"{partition.path} is not a whole number of words")
-            yield partition.path, 0, [raw]
-            return
-        if self.framing == "packed":
-            raw = unpack_words(raw)
-            if raw is None:
-                raise ValueError(f"{partition.path} ends within a packed word")
-        for seq, segments in enumerate(split_frames(raw)):
+        for seq, segments in enumerate(frames_of_file(raw, self.framing, partition.path)):
             yield partition.path, seq, segments
 
 

@@ -96,7 +96,7 @@ def test_packing_round_trips(spark):
 
 
 def test_source_reads_what_it_writes(spark, tmp_path):
-    from loomwork.sources.frames import FramedSource
+    from loomwork.sources.frames import FramedSource, read_frames
 
     spark.dataSource.register(FramedSource)
     rows = [("", 0, [bytes([k]) * 8, bytes(8 * k)]) for k in range(1, 20)]
@@ -106,6 +106,8 @@ def test_source_reads_what_it_writes(spark, tmp_path):
         df.write.format("framed").option("framing", framing).mode("append").save(at)
         back = spark.read.format("framed").option("framing", framing).load(at)
         assert sorted([bytes(s) for s in r.segments] for r in back.collect()) == sorted(r[2] for r in rows)
+        again = read_frames(spark, at, framing)
+        assert sorted([bytes(s) for s in r.segments] for r in again.collect()) == sorted(r[2] for r in rows)
     (tmp_path / "flat").write_bytes(b"12345678")
     assert [bytes(s) for s in spark.read.format("framed").option("framing", "flat").load(f"{tmp_path}/flat").first().segments] == [b"12345678"]
     (tmp_path / "short").write_bytes(b"\0\0\0\0\2\0\0\0half")
