@@ -61,7 +61,7 @@ def unquote(text: Column) -> Column:
     return F.replace(inner, F.lit("\x00\x00"), F.lit("\\"))
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """``then(value)``, with ``value`` computed once however often it is used."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -78,8 +78,8 @@ def _with_digits(x: Column, then) -> Column:
         )
 
     forms = [F.format_string(f"%.{n}e", x) for n in (0, 14, 15, 16)]
-    shortest = F.coalesce(*(_let(form, lambda f: F.when(f.try_cast("double") == x, f)) for form in forms[:-1]), forms[-1])
-    return _let(shortest, lambda t: _let(split(t), lambda s: then(s.sign, s.digits, s.point)))
+    shortest = F.coalesce(*(let(form, lambda f: F.when(f.try_cast("double") == x, f)) for form in forms[:-1]), forms[-1])
+    return let(shortest, lambda t: let(split(t), lambda s: then(s.sign, s.digits, s.point)))
 
 
 def _decimal(digits: Column, point: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .encoding import little_endian, read_little_endian
+from .encoding import let, little_endian, read_little_endian
 
 # Limits of a frame.
 MAX_SEGMENTS, MAX_WORDS = 512, 8 << 20
@@ -28,18 +28,21 @@ def encode_frame(segments: Column) -> Column:
 
 def parse_frame(raw: Column) -> Column:
     """The segments of the frame that ``raw`` begins with; null if it ends too soon or breaks a limit."""
-    n = read_little_endian(raw, 1, 4) + 1
-    usable = (F.octet_length(raw) >= 8) & n.between(1, MAX_SEGMENTS) & (F.octet_length(raw) >= table_size(n))
-    index = F.sequence(F.lit(0), F.when(usable, n - 1).otherwise(F.lit(0)).cast("int"))
-    sizes = F.transform(index, lambda i: read_little_endian(raw, i * 4 + 5, 4))
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, s: a + s)
-    fits = usable & (total <= MAX_WORDS) & (F.octet_length(raw) >= table_size(n) + 8 * total)
-
-    def segment(s: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.substr(raw, (table_size(n) + 8 * before + 1).cast("int"), (8 * s).cast("int"))
-
-    return F.when(fits, F.transform(F.when(fits, sizes), segment))
+
+    def segments(n: Column) -> Column:
+        usable = (F.octet_length(raw) >= 8) & n.between(1, MAX_SEGMENTS) & (F.octet_length(raw) >= table_size(n))
+        index = F.sequence(F.lit(0), F.when(usable, n - 1).otherwise(F.lit(0)).cast("int"))
+        sizes = F.transform(index, lambda i: read_little_endian(raw, i * 4 + 5, 4))
+        return F.when(usable, let(sizes, lambda found: cut(n, found)))
+
+    def cut(n: Column, sizes: Column) -> Column:
+        add = lambda a, s: a + s
+        total = F.aggregate(sizes, F.lit(0).cast("long"), add)
+        fits = (total <= MAX_WORDS) & (F.octet_length(raw) >= table_size(n) + 8 * total)
+        before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), add)
+        return F.when(fits, F.transform(sizes, lambda s, i: F.substr(raw, (table_size(n) + 8 * before(i) + 1).cast("int"), (8 * s).cast("int"))))
+
+    return let(read_little_endian(raw, 1, 4) + 1, segments)
 
 
 def pack_words(raw: bytes) -> bytes:
