@@ -20,6 +20,10 @@ def table_size(segments: Column) -> Column:
 def encode_frame(segments: Column) -> Column:
     """A table (count less one, sizes in words, padded to a word), then the segments; null unless
     each segment is whole words, and there are between 1 and the limit."""
+    return let(segments, _encoded)
+
+
+def _encoded(segments: Column) -> Column:
     sizes = F.transform(segments, lambda s: (F.octet_length(s) / 8).cast("long"))
     words = F.concat(F.array(F.size(segments).cast("long") - 1), sizes, F.when(F.size(segments) % 2 == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")))
     whole = F.forall(segments, lambda s: F.octet_length(s) % 8 == 0) & F.size(segments).between(1, MAX_SEGMENTS)
@@ -28,7 +32,10 @@ def encode_frame(segments: Column) -> Column:
 
 def parse_frame(raw: Column) -> Column:
     """The segments of the frame that ``raw`` begins with; null if it ends too soon or breaks a limit."""
+    return let(raw, _parsed)
+
 
+def _parsed(raw: Column) -> Column:
     def segments(n: Column) -> Column:
         usable = (F.octet_length(raw) >= 8) & n.between(1, MAX_SEGMENTS) & (F.octet_length(raw) >= table_size(n))
         index = F.sequence(F.lit(0), F.when(usable, n - 1).otherwise(F.lit(0)).cast("int"))

@@ -443,9 +443,11 @@ def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     first = F.concat(en.little_endian(k, 8), en.little_endian(F.col("o_custkey"), 8))
     segments = F.when(k % 2 == 0, F.array(en.little_endian(k, 8), en.little_endian(F.col("o_custkey"), 8))).otherwise(F.array(first))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", segments.alias("s")).withColumn("frame", fr.encode_frame(F.col("s")))
-    o = o.withColumns({"back": fr.parse_frame(F.col("frame")), "short": fr.parse_frame(F.expr("substring(frame, 1, length(frame) - 1)"))})
-    return o.select("o_orderkey", F.size("back").alias("n_segments"), F.octet_length("frame").cast("long").alias("frame_bytes"), en.read_little_endian(F.get("back", F.lit(0)), 1, 7).alias("key_again"), (F.col("back") == F.col("s")).alias("equal"), F.col("short").isNull().alias("cut_refused"))
+    seen = lambda s, f, b: F.struct(
+        F.size(b).alias("n_segments"), F.octet_length(f).cast("long").alias("frame_bytes"), en.read_little_endian(F.get(b, F.lit(0)), 1, 7).alias("key_again"),
+        (b == s).alias("equal"), fr.parse_frame(F.substr(f, F.lit(1), F.octet_length(f) - 1)).isNull().alias("cut_refused"))
+    whole = en.let(segments, lambda s: en.let(fr.encode_frame(s), lambda f: en.let(fr.parse_frame(f), lambda b: seen(s, f, b))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(whole)))
 
 
 _BYTE_ZERO = " + ".join(f"CASE WHEN (o_orderkey * 257) // {256**k} % 256 = 0 THEN 1 ELSE 0 END" for k in range(7))
