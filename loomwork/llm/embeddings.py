@@ -38,12 +38,12 @@ def assign(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.
     """The nearest cell of each unit row, and a mask of the cells it belongs to.
 
     Besides its own cell a row belongs to each one whose bisecting plane with it is no farther
-    than ``margin``.
+    than ``margin``. The sum's last term covers rounding where two centroids nearly coincide.
     """
     p = x @ c.T
     home = p.argmax(axis=1)
     gap = np.maximum(np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))), 1e-12)
-    belongs = (p[np.arange(len(x)), home][:, None] - p) <= margin * gap[home]
+    belongs = (p[np.arange(len(x)), home][:, None] - p) <= margin * gap[home] + 1e-7
     belongs[np.arange(len(x)), home] = True
     return home, belongs
 
@@ -142,7 +142,7 @@ def _pairs(a: pa.Table, b: pa.Table, threshold: float, out: dict) -> None:
 
 def near_duplicates(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, cells: int | None = None,
-    margin: float = 0.1, sample: int = 20_000, own_block: int = 1024, other_block: int = 4096,
+    margin: float | None = None, sample: int = 20_000, own_block: int = 1024, other_block: int = 4096,
 ) -> DataFrame:
     """One row per row of ``rows``: ``key``, ``n_links``, ``component_id``, ``kept``.
 
@@ -150,9 +150,10 @@ def near_duplicates(
     Spherical k-means over a sample (``sample`` vectors at most, picked by a hash) makes ``cells``
     centroids (None: the root of the number of vectors, 8 to 1,024). A vector is compared as a
     member of its nearest cell with all vectors that belong to that cell, which are also those
-    within ``margin`` of the plane that parts it from their own. For links of random direction at
-    cosine 0.95 in 64 dimensions no loss was seen in 20,000 pairs at a margin of 0.08; a margin of
-    ``sqrt(1 - threshold**2)`` loses none whatever their direction. No pair below the threshold is
+    within ``margin`` of the plane that parts it from their own. The default is
+    ``sqrt((1 - threshold) / 2)``, half the distance of two unit vectors at the threshold: of a pair
+    in two cells one vector is at most that far from the plane between, so no link is lost
+    whatever its direction. A smaller margin may lose links. No pair below the threshold is
     ever linked. Equal vectors are one class, compared once with its number of rows; a cell's rows
     are cut into blocks, and a block of own rows meets a block of others in a task of its own,
     which returns counts and a forest instead of the pairs. So neither a hot vector nor a hot
@@ -165,6 +166,7 @@ def near_duplicates(
     rows.
     """
     spark = rows.sparkSession
+    margin = math.sqrt(max(0.0, 1 - threshold) / 2) + 1e-6 if margin is None else margin
     kind = rows.schema[vector].dataType.simpleString()
     v = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)

@@ -60,6 +60,19 @@ def test_default_margin_on_the_table(spark):
     assert got == want
 
 
+def test_default_margin_loses_no_direction(spark):
+    rng = np.random.default_rng(4)
+    flat = rng.normal(size=(200, 3))
+    base, way = rng.normal(size=(60, 16)), rng.normal(size=16)
+    base[:, 0] *= 3
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    vectors = [*flat, *base, *(base + 0.3 * way / np.linalg.norm(way))]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([(i, v, None, "x") for i, v in rows], SCHEMA).repartition(4)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
+    assert got == sorted(brute(rows, 0.95))
+
+
 def test_shared_keys_and_no_rows(spark):
     rows = [(1, [1.0, 0.0], 0, ""), (1, [0.0, 1.0], 0, ""), (2, [0.0, 1.0], 0, ""), (3, [1.0, 0.01], 0, "")]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
