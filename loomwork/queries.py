@@ -409,11 +409,12 @@ SELECT event_id, user_id, row_number() OVER w AS turn, (sum(10 + event_id % 400)
 def stream_keyed_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "user_id", "ts", (10 + F.col("event_id") % 400).alias("bytes"))
-    return _drained(spark, flow.keyed_stream(stream), "append")
+    return _drained(spark, stream, "append", flow.keyed_batches)
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has put out once all of its input is read, from a table in the shared folder."""
+def _drained(spark: SparkSession, stream: DataFrame, mode: str, stores=None) -> DataFrame:
+    """What a stream has put out once all of its input is read, from a table in the shared folder;
+    ``stores``, given that folder, makes the function that stores a batch."""
     import uuid
 
     at = f"{shared_dir(spark)}/loomwork/stream-{uuid.uuid4().hex}"
@@ -421,7 +422,7 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(store).start()
+    run = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(stores(at) if stores else store).start()
     run.awaitTermination()
     out = spark.read.parquet(f"{at}/out")
     if mode == "complete":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,17 +87,28 @@ def stream_totals(events: DataFrame, key: str, size: Column) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("sends"), F.sum(size).cast("long").alias("bytes"), F.max(size).cast("long").alias("largest"))
 
 
-def _running(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seen, total = state.get if state.exists else (0, 0)
-    for pdf in batches:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": key[0], "turn": range(seen + 1, seen + 1 + len(pdf)), "written": total + pdf["bytes"].cumsum()})
-        seen, total = seen + len(pdf), total + int(pdf["bytes"].sum())
-    state.update((seen, total))
+_TOTALS = "user_id long, seen long, total long"
 
 
-def keyed_stream(events: DataFrame) -> DataFrame:
-    """First come, first served for each user of a stream, with a running byte count: rows of
-    ``event_id, user_id, ts, bytes`` in, the turn and the bytes so far out. The state is two
-    numbers a user."""
-    return events.groupBy("user_id").applyInPandasWithState(_running, "event_id long, user_id long, turn long, written long", "seen long, total long", "append", "NoTimeout")
+def keyed_batches(at: str) -> Callable[[DataFrame, int], None]:
+    """First come, first served for each user of a stream, with a running byte count.
+
+    A function for ``foreachBatch`` over rows of ``event_id, user_id, ts, bytes``; the turn and the
+    bytes so far go to ``at/out/batch=n``. Within a batch a user's rows go by ``ts, event_id`` in a
+    Spark window, whatever parts they arrive in; later batches go on from the user's totals, which
+    are kept in ``at/totals/batch=n``. A batch that is repeated replaces what it wrote.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(_TOTALS).parquet(f"{at}/totals/batch={number - 1}") if number else spark.createDataFrame([], _TOTALS)
+        w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+        rows = batch.select("event_id", F.col("user_id").alias("user"), F.count(F.lit(1)).over(w).alias("n"), F.sum("bytes").over(w).cast("long").alias("b"))
+        rows = rows.join(before, F.col("user").eqNullSafe(F.col("user_id")), "left")
+        turn, total = F.coalesce("seen", F.lit(0)) + F.col("n"), F.coalesce(F.col("total") + F.col("b"), "total", "b")
+        rows.select("event_id", F.col("user").alias("user_id"), turn.alias("turn"), total.alias("written")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        done = spark.read.schema("event_id long, user_id long, turn long, written long").parquet(f"{at}/out/batch={number}")
+        now = before.unionByName(done.select("user_id", F.col("turn").alias("seen"), F.col("written").alias("total")))
+        now.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max_by("total", "seen").alias("total")).write.mode("overwrite").parquet(f"{at}/totals/batch={number}")
+
+    return store

@@ -79,3 +79,40 @@ def test_adaptive_window(spark):
     for r in flow.adaptive_windows(df, "stream", 2000, 500, 50_000).collect():
         got.setdefault(r.stream, []).append((r.seq, r.window, r.min_rtt, r.starting))
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def _by_window(events):
+    seen, want = {}, []
+    for e, u, _, b in sorted(events, key=lambda r: (r[2], r[0])):
+        n, total = seen.get(u, (0, 0))
+        seen[u] = (n + 1, total + b)
+        want.append((e, u, *seen[u]))
+    return sorted(want)
+
+
+def test_keyed_stream_in_small_arrow_batches(spark, tmp_path):
+    import random
+
+    from loomwork import queries
+
+    rng = random.Random(6)
+    events = [(e, e % 3, rng.randint(0, 50), 10 + e % 400) for e in range(60)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts long, bytes long").select("event_id", "user_id", F.timestamp_seconds("ts").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = queries.stream_keyed_fifo(spark, str(tmp_path)).select("event_id", "user_id", "turn", "written").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(tuple(r) for r in got) == _by_window(events)
+
+
+def test_keyed_batches_go_on(spark, tmp_path):
+    rows = [(e, e % 3, 40 - e, 5 + e) for e in range(30)]
+    store, schema = flow.keyed_batches(str(tmp_path)), "event_id long, user_id long, ts long, bytes long"
+    parts = [rows[20:], rows[10:20], rows[:0], rows[:10]]
+    for n, part in enumerate(parts):
+        store(spark.createDataFrame(part, schema), n)
+    store(spark.createDataFrame(parts[3], schema), 3)
+    got = spark.read.parquet(f"{tmp_path}/out").select("event_id", "user_id", "turn", "written").collect()
+    assert sorted(tuple(r) for r in got) == _by_window(rows)
