@@ -12,14 +12,19 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``links`` has longs ``a`` and ``b``; returns ``node`` and ``component``, the smallest node
-    that links reach, for every node that some link names. The graph stays in Spark; two numbers
+    that links reach, for every node that some link names. Rounds go on until nothing changes;
+    where ``rounds`` are given and do not suffice, it raises. The graph stays in Spark; two numbers
     a round reach the driver. The stars' joins are plain equi-joins, which Spark splits where one
     node has very many links."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     before = _print_of(edges)
-    for _ in range(rounds):
+    done = 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
+        done += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

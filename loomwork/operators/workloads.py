@@ -48,25 +48,33 @@ def _apply(op: Column, a: Column, b: Column) -> Column:
     return out
 
 
-def evaluate_trees(nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def evaluate_trees(nodes: DataFrame) -> DataFrame:
     """Values of expression trees kept as rows: ``tree``, ``node``, ``parent``, ``side`` (left or
     right), ``op`` (null for a leaf), ``value``; the root has no parent. All nodes whose two
     operands are known are evaluated together, so a round is one join however many trees there
-    are, and there are as many rounds as the deepest tree has levels. Returns ``tree, value``."""
+    are, and there are as many rounds as the deepest tree has levels, without a bound. A null
+    operand is a value like others. Raises where a root cannot be evaluated, as an operand is
+    missing. Returns ``tree, value``."""
     cols = ["tree", "node", "value", "parent", "side"]
+    nodes = staged(nodes.select(*cols, "op"), "tree-nodes")
     known = nodes.where("op is null").select(*cols)
     inner = nodes.where("op is not null").select("tree", "node", "op", "parent", "side")
     roots = known.where("parent is null").select("tree", "value")
-    for _ in range(rounds):
-        pairs = known.where("parent is not null").groupBy("tree", "parent").agg(*(F.max(F.when(F.col("side") == s, F.col("value"))).alias(s) for s in ("left", "right")))
+    while True:
+        pairs = known.where("parent is not null").groupBy("tree", "parent").agg(*(F.max(F.when(F.col("side") == s, F.struct("value"))).alias(s) for s in ("left", "right")))
         joined = inner.join(pairs.withColumnRenamed("parent", "of"), (inner["node"] == F.col("of")) & (inner["tree"] == pairs["tree"]))
         both = F.col("left").isNotNull() & F.col("right").isNotNull()
-        done = F.struct(inner["node"].alias("node"), _apply(F.col("op"), F.col("left"), F.col("right")).alias("value"), inner["parent"].alias("parent"), inner["side"].alias("side"))
-        half = F.struct(F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.coalesce("left", "right").alias("value"), F.col("of").alias("parent"), F.when(F.col("left").isNotNull(), "left").otherwise("right").alias("side"))
+        done = F.struct(inner["node"].alias("node"), _apply(F.col("op"), F.col("left.value"), F.col("right.value")).alias("value"), inner["parent"].alias("parent"), inner["side"].alias("side"))
+        half = F.struct(F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.coalesce("left", "right").getField("value").alias("value"), F.col("of").alias("parent"), F.when(F.col("left").isNotNull(), "left").otherwise("right").alias("side"))
         known = staged(joined.select(inner["tree"], F.when(both, done).otherwise(half).alias("x")).select("tree", "x.*"), "tree-level")
-        roots = roots.unionByName(known.where("parent is null").select("tree", "value"))
-        if known.where("parent is not null").isEmpty():
+        evaluated, waiting = known.agg(F.count("node"), F.count("parent")).first()
+        if evaluated:
+            roots = roots.unionByName(known.where("parent is null").select("tree", "value"))
+        if not evaluated or not waiting:
             break
+    missing = nodes.where("parent is null").count() - roots.count()
+    if missing or waiting:
+        raise ValueError(f"{missing} trees have no value, {waiting} operands lack their partner")
     return roots
 
 

@@ -116,3 +116,36 @@ def test_keyed_batches_go_on(spark, tmp_path):
     store(spark.createDataFrame(parts[3], schema), 3)
     got = spark.read.parquet(f"{tmp_path}/out").select("event_id", "user_id", "turn", "written").collect()
     assert sorted(tuple(r) for r in got) == _by_window(rows)
+
+
+NODES = "tree int, node int, parent int, side string, op string, value int"
+
+
+def test_deep_trees_are_whole(spark):
+    import pytest
+
+    from loomwork.operators import workloads as wl
+
+    rows, want = [], {2: 7, 3: None}
+    n, total = 70, 0
+    for k in range(1, n + 1):
+        rows.append((1, 2 * k, None if n == 1 else 2 * max(k, 2) + 1, "left" if k == 1 else "right", None, k))
+        if k > 1:
+            rows.append((1, 2 * k + 1, 2 * k + 3 if k < n else None, "left" if k < n else None, "add", None))
+        total += k
+    want[1] = total
+    rows += [(2, 1, None, None, None, 7), (3, 1, None, None, "add", None), (3, 2, 1, "left", None, None), (3, 3, 1, "right", None, 4)]
+    assert {r.tree: r.value for r in wl.evaluate_trees(spark.createDataFrame(rows, NODES)).collect()} == want
+    with pytest.raises(ValueError):
+        wl.evaluate_trees(spark.createDataFrame([(4, 1, None, None, "add", None), (4, 2, 1, "left", None, 5)], NODES))
+
+
+def test_unfinished_components_raise(spark):
+    import pytest
+
+    from loomwork.llm._graph import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
