@@ -1,4 +1,4 @@
-"""Benchmark decontamination: random-walk embedding, bit-sampling LSH, exact edit distance."""
+"""Benchmark decontamination: pieces with at most one edit, a tree of checks, exact edit distance."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import row_slices
-from ._words import stream
 
 LEAK = "struct<item_id:long,distance:int,start:int,length:int>"
-STRETCH = 3
+BASE = 0x9E3779B1
+INVERSE = pow(BASE, -1, 1 << 32)
+WORD = 64  # signs of the longest part that is checked before the whole item
 
 
 def normal(text: str | None) -> str:
@@ -26,15 +27,6 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gram_hashes(cp: np.ndarray, q: int) -> np.ndarray:
-    n = len(cp) - q + 1
-    h = np.full(max(0, n), q, np.uint32)
-    for k in range(q if n > 0 else 0):
-        h = (h ^ cp[k : k + n]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    return h
-
-
 def nearest(pattern: str, text: str) -> tuple[int, int]:
     """The least edit distance of ``pattern`` to a substring of ``text``, and where that ends."""
     m = len(pattern)
@@ -62,125 +54,181 @@ def nearest(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+@dataclass
+class Lookup:
+    """Strings of one length that pieces become, by hash."""
+
+    size: int  # signs of a window of text
+    holes: list[int]  # which sign to leave out
+    seen: np.ndarray  # by the upper bits of the hash
+    hashes: np.ndarray  # sorted
+    piece: np.ndarray
+
+
 @dataclass
 class Index:
-    """Benchmark items, their pieces, and what random walks from each piece write."""
+    """Benchmark items, their pieces, and the parts of items that are checked from a piece upwards."""
 
     ids: list[int]
     texts: list[str]
     allowed: np.ndarray  # edits
     length: np.ndarray
-    q: int
-    seen: np.ndarray  # by the upper bits of a piece's hash
-    hashes: np.ndarray  # of each piece, sorted
-    item: np.ndarray
+    lookups: list[Lookup]
+    item: np.ndarray  # of each piece
     place: np.ndarray
-    way: np.ndarray  # 1: the walk goes on to the right, -1: to the left
-    reach: np.ndarray  # signs from the piece to that end of the item
-    walk: np.ndarray  # walk, step, kind of sign: go on or stay
-    written: list[np.ndarray]  # for each walk: step, piece
-    sampled: np.ndarray  # walk, table, coordinate, piece
+    ups: np.ndarray  # level, piece: the part of that level that holds the piece, or -1
+    begin: np.ndarray  # of each part, in its item
+    width: np.ndarray
+    edits: np.ndarray  # of each part at most
+    masks: np.ndarray  # part, kind of sign: where the part has it
 
 
 def _kind(cp: np.ndarray) -> np.ndarray:
     return ((cp * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.intp)
 
 
-def embed(cp: np.ndarray, base: np.ndarray, way: np.ndarray, length: np.ndarray, walk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Random walks from ``base`` over ``length`` signs: step s writes the sign under the pointer,
-    then a random function of step and sign tells whether the pointer goes on; behind the end a
-    walk writes 0. Returns what was written, and how many steps each walk took to its end."""
-    out = np.zeros((len(walk), len(base)), np.uint32)
-    took = np.full(len(base), len(walk), np.int64)
-    at, kinds, live = np.zeros(len(base), np.int64), _kind(cp), np.arange(len(base))
-    for s in range(len(walk)):
-        if s % 8 == 0:
-            done = at[live] >= length[live]
-            took[live[done]] = s
-            live = live[~done]
-            if not len(live):
-                break
-        place = at[live]
-        here = base[live] + way[live] * np.minimum(place, length[live])
-        out[s, live] = np.where(place < length[live], cp[here], 0)
-        at[live] = place + walk[s, kinds[here]]
-    return out, took
-
-
-def build(items: list[tuple[int, str]], max_edits: float, piece: int, walks: int, tables: int, coordinates: int, reach: int) -> Index:
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint32(1)], np.full(n, base, np.uint32)]), dtype=np.uint32)
+
+
+def _holed(cp: np.ndarray, size: int, holes: list[int], up: np.ndarray, down: np.ndarray):
+    """Hashes of all windows of ``size`` signs, each without the sign at one place, hole by hole."""
+    v = (cp + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    v ^= v >> np.uint32(15)
+    n = len(cp) - size + 1
+    if n <= 0:
+        return
+    sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum(v * up[: len(v)], dtype=np.uint32)])
+    step = (v[:-1] - v[1:]) * up[: len(v) - 1]
+    h = (sums[size : size + n] - sums[1 : 1 + n]) * np.uint32(INVERSE)
+    for j in range(max(holes) + 1):
+        if j in holes:
+            yield h * down[:n] * np.uint32(0xC2B2AE35)
+        if j + 1 < size:
+            h += step[j : j + n]
+
+
+def _tree(lo: int, hi: int, above: list, out: list) -> None:
+    """For each of the pieces ``lo`` to ``hi``: the ranges of pieces that hold it, smallest first."""
+    if hi - lo == 1:
+        out.append(above[::-1])
+        return
+    mid = (lo + hi) // 2
+    _tree(lo, mid, [*above, (lo, hi)], out)
+    _tree(mid, hi, [*above, (lo, hi)], out)
+
+
+def build(items: list[tuple[int, str]], max_edits: float) -> Index:
+    """An item of k allowed edits is cut into k // 2 + 1 pieces. A passage within k edits has at most
+    2c - 1 of them in the whole of c pieces, so in one of its halves too, and so on down: some piece
+    has at most one edit, and each part on the way up to the item at most twice its pieces less one."""
     texts = [t for _, t in items]
     length = np.array([len(t) for t in texts], np.int64)
     allowed = np.floor(length * max_edits).astype(np.int64)
-    q = int(min(piece, length.min()))
-    flat = np.concatenate([np.zeros(q + 1, np.uint32), *(np.concatenate([points(t), np.zeros(q + 1, np.uint32)]) for t in texts)])
-    begins = q + 1 + np.concatenate([[0], np.cumsum(length + q + 1)[:-1]]).astype(np.int64)
-    n = length // q
-    item = np.repeat(np.arange(len(texts)), n)
-    place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * q
-    h = gram_hashes(flat, q)[begins[item] + place]
-    order = np.argsort(h, kind="stable")
-    h, item, place = h[order], item[order], place[order]
-    right = length[item] - place - q >= place
-    way = np.where(right, 1, -1)
-    rest = np.minimum(np.where(right, length[item] - place - q, place), reach)
-    seen = np.zeros(1 << 22, bool)
-    seen[h >> np.uint32(10)] = True
-    steps = int(STRETCH * max(1, rest.max()))
-    walk = (stream(21, walks * steps * 256).reshape(walks, steps, 256) >> np.uint64(63)).astype(np.int64)
-    base = begins[item] + np.where(right, place + q, place - 1)
-    u = (stream(22, walks * tables * coordinates) >> np.uint64(11)).astype(np.float64).reshape(walks, tables, coordinates) / float(1 << 53)
-    written, sampled = [], []
-    for w in range(walks):
-        out, took = embed(flat, base, way, rest, walk[w])
-        written.append(out)
-        sampled.append(np.floor(u[w][:, :, None] ** 1.5 * np.maximum(took, 1)).astype(np.int32))
-    return Index([i for i, _ in items], texts, allowed, length, q, seen, h, item, place, way, rest, walk, written, np.stack(sampled))
-
-
-def _met(cp: np.ndarray, piece: np.ndarray, at: np.ndarray, ix: Index) -> np.ndarray:
-    """Which windows agree with their item in all coordinates of some table of some walk."""
-    met = np.zeros(len(at), bool)
-    base = np.where(ix.way[piece] > 0, at + ix.q, at - 1)
-    for w in range(len(ix.walk)):
-        left = np.flatnonzero(~met)
-        p = piece[left]
-        steps = int(STRETCH * max(1, ix.reach[p].max(initial=1)))
-        out, _ = embed(cp, base[left], ix.way[p], ix.reach[p], ix.walk[w][:steps])
-        same = out == ix.written[w][:steps, p]
-        col = np.arange(len(left))
-        hit = np.zeros(len(left), bool)
-        for table in ix.sampled[w]:
-            ok = same[table[0, p], col]
-            for k in table[1:]:
-                ok &= same[k[p], col]
-            hit |= ok
-        met[left[hit]] = True
+    item, place, chains, strings, parts = [], [], [], {}, {}
+    for i, (t, k) in enumerate(zip(texts, allowed.tolist())):
+        m = k // 2 + 1
+        cut = [j * len(t) // m for j in range(m + 1)]
+        size, above = len(t) // m, []
+        _tree(0, m, [], above)
+        for j in range(m):
+            strings.setdefault((size, k > 0), []).append(len(item))
+            ranges = [(lo, hi) for lo, hi in above[j] if cut[hi] - cut[lo] <= WORD and hi - lo > 1]
+            chains.append([parts.setdefault((i, cut[lo], cut[hi] - cut[lo], 2 * (hi - lo) - 1), len(parts)) for lo, hi in ranges])
+            item.append(i)
+            place.append(cut[j])
+    ups = np.full((max(map(len, chains)), len(item)), -1, np.int64)
+    for p, chain in enumerate(chains):
+        ups[: len(chain), p] = chain
+    masks = np.zeros((len(parts), 256), np.uint64)
+    for (i, begin, width, _), n in parts.items():
+        for j, c in enumerate(_kind(points(texts[i][begin : begin + width])).tolist()):
+            masks[n, c] |= np.uint64(1 << j)
+    column = lambda k: np.array([x[k] for x in parts], np.int64)
+    lookups = []
+    for (size, edit), pieces in strings.items():
+        flat = points("".join(texts[item[p]][place[p] : place[p] + size] + "\x00" for p in pieces))
+        up, down = _powers(BASE, len(flat)), _powers(INVERSE, len(flat))
+        at = np.arange(len(pieces)) * (size + 1)
+        whole = next(_holed(flat, size + 1, [size], up, down))[at]
+        wanted = [(size + 1, [*range(1, size)] if edit else [size], whole[None])]
+        if edit:
+            wanted.append((size, [*range(size)], np.stack([h[at] for h in _holed(flat, size, [*range(size)], up, down)])))
+        for window, holes, h in wanted:
+            of = np.tile(np.array(pieces, np.int64), len(h))
+            order = np.argsort(h.ravel(), kind="stable")
+            seen = np.zeros(1 << 22, bool)
+            seen[h.ravel() >> np.uint32(10)] = True
+            lookups.append(Lookup(window, holes, seen, h.ravel()[order], of[order]))
+    return Index([i for i, _ in items], texts, allowed, length, lookups, np.array(item, np.int64), np.array(place, np.int64), ups, column(1), column(2), column(3), masks)
+
+
+def _pieces_at(cp: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Where which pieces occur with at most one edit, once each."""
+    block, wide = 1 << 15, max(x.size for x in ix.lookups)
+    up, down = _powers(BASE, block + wide), _powers(INVERSE, block + wide)
+    found = [np.zeros(0, np.int64)]
+    for x in ix.lookups:
+        for begin in range(0, len(cp), block):
+            for h in _holed(cp[begin : begin + block + x.size - 1], x.size, x.holes, up, down):
+                at = np.flatnonzero(x.seen.take((h >> np.uint32(10)).astype(np.intp), mode="clip"))
+                h = h[at]
+                lo = np.searchsorted(x.hashes, h, "left")
+                hit = x.hashes[np.minimum(lo, len(x.hashes) - 1)] == h
+                at, lo, h = at[hit], lo[hit], h[hit]
+                n = np.searchsorted(x.hashes, h, "right") - lo
+                piece = x.piece[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                found.append((begin + np.repeat(at, n)) * len(ix.item) + piece)
+    both = np.unique(np.concatenate(found))
+    return both // len(ix.item), both % len(ix.item)
+
+
+def _holds(kinds: np.ndarray, pos: np.ndarray, piece: np.ndarray, part: np.ndarray, ix: Index) -> np.ndarray:
+    """Whether each part is met within its edits around a piece; signs of one kind count as equal."""
+    one = np.uint64(1)
+    width, edits = ix.width[part], ix.edits[part]
+    start = pos - 1 - (ix.place[piece] - ix.begin[part]) - edits
+    span = width + 2 * edits + 1
+    top = (width - 1).astype(np.uint64)
+    up, down, score = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), np.uint64), width.copy()
+    met = np.zeros(len(part), bool)
+    for s in range(int(span.max(initial=0))):
+        eq = ix.masks[part, kinds.take(start + s, mode="clip")]
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up), up & xh
+        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        ph, mh = ph << one, mh << one
+        up, down = mh | ~(xv | ph), ph & xv
+        met |= (score <= edits) & (s < span)
     return met
 
 
 def leaks_of(texts: list[str], ix: Index, chunk: int = 8192) -> list[list[dict]]:
     """For each text the items found in it."""
     plain = [normal(t) for t in texts]
-    gap = int(ix.reach.max(initial=0)) + ix.q + 2
+    gap = 3 * WORD + max(x.size for x in ix.lookups)
     sizes = np.array([len(t) for t in plain], np.int64)
     begins = gap + np.concatenate([[0], np.cumsum(sizes + gap)[:-1]]).astype(np.int64)
     cp = points("\x00" * gap + "".join(t + "\x00" * gap for t in plain))
-    g = gram_hashes(cp, ix.q)
-    at = np.flatnonzero(ix.seen[g >> np.uint32(10)])
-    lo, hi = np.searchsorted(ix.hashes, g[at], "left"), np.searchsorted(ix.hashes, g[at], "right")
-    n = hi - lo
-    pieces = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(at, n)
+    kinds = _kind(cp)
+    at, pieces = _pieces_at(cp, ix)
     found: list[dict[int, tuple]] = [{} for _ in texts]
     for c in range(0, len(at), chunk):
-        pc, pos = pieces[c : c + chunk], at[c : c + chunk]
-        met = _met(cp, pc, pos, ix)
-        pc, pos = pc[met], pos[met]
+        pos, pc = at[c : c + chunk], pieces[c : c + chunk]
+        for level in ix.ups:
+            keep, part = np.ones(len(pc), bool), level[pc]
+            some = np.flatnonzero(part >= 0)
+            if len(some):
+                keep[some] = _holds(kinds, pos[some], pc[some], part[some], ix)
+            pos, pc = pos[keep], pc[keep]
         owner = np.searchsorted(begins, pos, "right") - 1
+        inside = (owner >= 0) & (pos < begins[owner] + sizes[owner])
+        pos, pc, owner = pos[inside], pc[inside], owner[inside]
         start = pos - begins[owner] - ix.place[pc]
         for i, d, st in zip(ix.item[pc].tolist(), owner.tolist(), start.tolist()):
             allowed, size = int(ix.allowed[i]), int(ix.length[i])
-            a, b = max(0, st - allowed), min(int(sizes[d]), st + size + allowed)
+            a, b = max(0, st - 1 - allowed), min(int(sizes[d]), st + size + allowed)
             best = found[d].get(i)
             if best is not None and (best[0] == 0 or a <= best[1] and best[2] <= b):
                 continue
@@ -192,18 +240,17 @@ def leaks_of(texts: list[str], ix: Index, chunk: int = 8192) -> list[list[dict]]
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
-    max_edits: float = 0.2, piece: int = 9, walks: int = 2, tables: int = 48, coordinates: int = 6, reach: int = 64, max_item_chars: int = 250_000,
+    max_edits: float = 0.2, max_item_chars: int = 250_000,
 ) -> DataFrame:
     """``docs`` with ``leaks``: an array of the items found in each text, :data:`LEAK`.
 
     Texts and items are compared in lower case with single spaces. An item is found if its edit
-    distance to some passage is at most ``max_edits`` of its length. Every whole text is searched
-    for the item's pieces of ``piece`` signs, cut side by side; each one met puts an item-sized
-    window into the text. From the piece towards the farther end of window and item, at most
-    ``reach`` signs far, ``walks`` random walks (CGK) write strings whose Hamming distance follows
-    the edit distance. Of each, ``tables`` samples of ``coordinates`` coordinates are compared; a
-    window that agrees in one whole sample goes to the exact edit distance over its neighbourhood.
-    Nothing is found that exceeds ``max_edits``; measured recall is in the README.
+    distance to some passage is at most ``max_edits`` of its length (up to 0.5), and every such item
+    is found. An item is cut into so many pieces that one of them has at most one edit in any such
+    passage; every whole text is searched for pieces with at most one edit, by hashes with one sign
+    left out. From each one met, larger and larger parts of the item are checked with the edits that
+    they may have (see :func:`build`), and what is left goes to the exact edit distance of the item
+    over its neighbourhood. Of several passages near the item in one text one is given.
 
     Items are broadcast in blocks of about ``max_item_chars`` signs, so any number of them is
     possible, at a pass over ``docs`` a block. Null or empty items are not looked for; a null or
@@ -211,6 +258,8 @@ def find_leaks(
     answers; no rows give no rows, no items empty arrays. ``start`` and ``length`` count signs of
     the normalised text. Columns: ``keep`` (None: all of ``docs``) and ``leaks``.
     """
+    if max_edits > 0.5:
+        raise ValueError("max_edits is at most 0.5")
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != "leaks"]
     wanted = items.select(F.col(f"`{item_key}`").cast("long").alias("k"), F.col(f"`{item_text}`").alias("t")).where("length(trim(t)) > 0")
@@ -224,7 +273,7 @@ def find_leaks(
         rows = [r for r in rows if r[1]]
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast(build(rows, max_edits, piece, walks, tables, coordinates, reach))
+        shared = spark.sparkContext.broadcast(build(rows, max_edits))
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -68,6 +68,22 @@ def test_against_every_place(spark):
     assert exact and all(dc.normal(v[1])[v[2] : v[2] + v[3]] == dict(items)[k[1]] for k, v in exact)
 
 
+def test_all_edits_within_the_limit_are_found():
+    rng = random.Random(7)
+    items = [(k, words(rng, 40)[: n].strip()) for k, n in enumerate([5, 9, 14, 20, 27, 27, 44, 90, 150])]
+    docs, want = [], []
+    for k, x in items:
+        x = dc.normal(x)
+        even = "".join("z" if j % 8 == 4 else c for j, c in enumerate(x))
+        for middle in (x, even, *(edited(rng, x, int(len(x) * share)) for share in (0.1, 0.15, 0.2, 0.2))):
+            docs.append(words(rng, 8) + " " + middle + " " + words(rng, 8))
+            docs.append(middle)
+    for d in docs:
+        want.append({k for k, x in items if least(dc.normal(x), dc.normal(d)) <= int(0.2 * len(dc.normal(x)))})
+    got = dc.leaks_of(docs, dc.build([(k, dc.normal(x)) for k, x in items], 0.2))
+    assert [{f["item_id"] for f in g} for g in got] == want
+
+
 def test_clean_texts_stay(spark):
     rng = random.Random(3)
     docs = [(d, words(rng, 80)) for d in range(60)]
