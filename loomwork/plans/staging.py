@@ -12,12 +12,15 @@ _OWN: dict[str, str] = {}  # temporary folders of sessions that have none
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session has none."""
+    """``spark.checkpoint.dir``. A session of one process that has none gets a temporary folder; on
+    a cluster, whose machines would each write to their own disk, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not found:
-            found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomwork-")
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.conf.get("spark.app.id", "")
+        found = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="loomwork-")
     return found.rstrip("/")
 
 
