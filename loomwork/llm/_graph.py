@@ -12,13 +12,13 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None, table=written) -> DataFrame:
     """``links`` has longs ``a`` and ``b``; returns ``node`` and ``component``, the smallest node
     that links reach, for every node that some link names. Rounds go on until nothing changes;
     where ``rounds`` are given and do not suffice, it raises. The graph stays in Spark; two numbers
     a round reach the driver. The stars' joins are plain equi-joins, which Spark splits where one
     node has very many links."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    edges = table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     before = _print_of(edges)
     done = 0
     while True:
@@ -30,7 +30,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after_edges = written(small, "stars")
+        after_edges = table(small, "stars")
         after = _print_of(after_edges)
         forget(edges)
         edges = after_edges

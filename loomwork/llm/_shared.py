@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,18 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_OWN: dict[str, str] = {}  # temporary folders of sessions that have none
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not found:
-            found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-    return found.rstrip("/")
+from ..plans.staging import shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,23 +29,35 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts the lineage, survives executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with shuffles_removed(spark):
+def _to(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    with shuffles_removed(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts the lineage, survives executors."""
+    return _to(df, scratch_path(df.sparkSession, name))
+
+
+def _empty(spark: SparkSession, path: str) -> None:
+    """Delete what is in a folder: an empty table replaces it."""
+    spark.range(0).write.mode("overwrite").parquet(path)
 
 
 def forget(table: DataFrame) -> None:
     """Delete a table that :func:`written` made and nothing reads any more."""
-    jvm = table.sparkSession._jvm
-    conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         if "/loomwork/" in path:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _empty(table.sparkSession, path)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession, name: str):
+    """Inside, ``table(df, name)`` does what :func:`written` does; afterwards those tables go."""
+    path = scratch_path(spark, name)
+    yield lambda df, name: _to(df, f"{path}/{name}-{uuid.uuid4().hex}")
+    _empty(spark, path)
 
 
 def digest(*parts: Column) -> Column:
