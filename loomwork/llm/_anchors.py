@@ -5,9 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ._words import U, _powers, mix, stream, text_bytes
+from ._words import U, _powers, mix, stream, text_bytes, words
+
+BYTES, WORDS = "bytes", "words"
+WIDTH = {BYTES: 1, WORDS: 8}  # bytes that stand for one sign
 
 _SPREAD = stream(41, 512).reshape(2, 256)
+_SALT = stream(43, 2)
 _BASES = [int(x) | 1 for x in stream(42, 2)]
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -22,13 +26,22 @@ def _scales(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got
 
 
+def signs(column: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The signs of all texts, where each text begins and the last ends: bytes, or hashes of words."""
+    if unit == BYTES:
+        return text_bytes(column)
+    w = words(column)
+    return w.hashes, w.first
+
+
 class Rolling:
-    """Hashes of any substrings of ``raw`` in constant time."""
+    """Hashes of any runs of signs in constant time."""
 
     def __init__(self, raw: np.ndarray, which: int):
         up, self.down = _scales(which, len(raw) + 1)
+        spread = _SPREAD[which][raw] if raw.dtype == np.uint8 else mix(raw ^ _SALT[which])
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[U(0)], np.cumsum(_SPREAD[which][raw] * up[: len(raw)], dtype=U)])
+            self.sums = np.concatenate([[U(0)], np.cumsum(spread * up[: len(raw)], dtype=U)])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -62,21 +75,20 @@ def inside_runs(h: np.ndarray, p: np.ndarray, gram: int) -> np.ndarray:
     return gap
 
 
-def anchors(column: pa.Array, span: int, gram: int):
-    """For texts of ``span`` bytes and more: text, place, hash of the anchor's ``gram`` bytes, and
-    128 bits for its surroundings (``span - gram`` bytes before it to ``span`` after its start; 0
+def anchors(raw: np.ndarray, at: np.ndarray, span: int, gram: int):
+    """From :func:`signs`. For texts of ``span`` signs and more: text, place, hash of the anchor's ``gram`` signs, and
+    128 bits for its surroundings (``span - gram`` signs before it to ``span`` after its start; 0
     where the text is too short for that). And, of periodic runs: text, begin, end.
 
-    An anchor is the place of the least hash among the grams of some ``span`` bytes. Two equal
-    strings of ``span`` bytes have equal grams, so both have an anchor at the same place.
+    An anchor is the place of the least hash among the grams of some ``span`` signs. Two equal
+    strings of ``span`` signs have equal grams, so both have an anchor at the same place.
 
     Where text repeats itself with a short period, each period has an anchor. Those with
-    :data:`REPEATS` equal grams on both sides are left out. Strings of ``span`` bytes that have no
+    :data:`REPEATS` equal grams on both sides are left out. Strings of ``span`` signs that have no
     other anchors lie in the run and are equal to their neighbours a period on, so the run stands
     for them; strings that reach over an end of a run hold its first or last grams, and strings
     in a run too short for a shift hold one of its first grams, all of which stay.
     """
-    raw, at = text_bytes(column)
     one, two = Rolling(raw, 0), Rolling(raw, 1)
     width = span - gram + 1
     found, runs = [], []

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,9 @@ import pyarrow as pa
 import pytest
 
 from loomwork.llm import suffixes
-from loomwork.llm._anchors import anchors
+from loomwork.llm._anchors import anchors, signs
+
+from .common import no_docs, odd_docs, odd_rows
 
 SCHEMA = "doc_id long, text string"
 
@@ -77,7 +80,7 @@ def test_anchors_of_periodic_texts(span, gram):
     """Every string that occurs twice lies in a run, or shares an anchor's place with another."""
     for seed in range(60):
         texts = periodic(seed)
-        of, p, _, _, _, (run_of, begin, end) = anchors(pa.array(texts), span, gram)
+        of, p, _, _, _, (run_of, begin, end) = anchors(*signs(pa.array(texts), "bytes"), span, gram)
         held, runs, windows = defaultdict(set), defaultdict(list), defaultdict(list)
         for d, x in zip(of.tolist(), p.tolist()):
             held[d].add(x)
@@ -121,6 +124,68 @@ def test_multikey_quicksort_sorts():
     assert [keys[i].ljust(30, b"\0") for i in suffixes.multikey_quicksort(keys)] == sorted(k.ljust(30, b"\0") for k in keys)
 
 
+def plain_words(text):
+    """Each word in lower case, with where it begins and ends."""
+    raw = (text or "").encode()
+    return [(m.group().lower(), *m.span()) for m in re.finditer(rb"[^\x00-\x20]+", raw)]
+
+
+def brute_words(texts, span):
+    """What is left of each text; a text that occurs twice goes whole."""
+    rows = [plain_words(t) for t in texts]
+    held = Counter(tuple(x[0] for x in r[i : i + span]) for r in rows for i in range(len(r) - span + 1))
+    out = []
+    for t, r in zip(texts, rows):
+        raw, gone = (t or "").encode(), [False] * (len(r) + 1)
+        for i in range(len(r) - span + 1):
+            if held[tuple(x[0] for x in r[i : i + span])] > 1:
+                gone[i : i + span] = [True] * span
+        left, at = b"", 0
+        for k, (_, b, e) in enumerate(r):
+            if gone[k]:
+                left += raw[at:b] if k == 0 or not gone[k - 1] else b""
+                at = e
+        left = b"" if texts.count(t) > 1 and len(r) >= span else left + raw[at:]
+        out.append((len(raw), len(raw) - len(left), left.decode()))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"in_range": 25, "in_task": 10_000}, {"in_range": 25, "in_task": 3}])
+def test_words_against_all_windows(spark, sizes):
+    texts = [t and t.replace("a", "A", 2) if i % 3 else t for i, t in enumerate(corpus(5))]
+    texts += ["so so " * 40, "we so so " + "so so " * 30, "one two three " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.text) for r in suffixes.remove_repeats(df, unit="words", span=8, gram=4, **sizes).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts, 8)
+    assert sum(v[1] for v in got.values()) > 1000
+
+
+@pytest.mark.parametrize("unit,span", [("bytes", 400), ("words", 50)])
+def test_odd_rows(spark, unit, span):
+    odd = odd_docs(spark).selectExpr("*", "'a' as k1", "'b' as k2", "'c' as n_bytes")
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    out = suffixes.remove_repeats(odd, unit=unit, span=span, gram=span // 2).collect()
+    brute_of = {"bytes": lambda t: brute(t, span), "words": lambda t: brute_words(t, span)}[unit]
+    want = sorted((str(i), x[0], x[1]) for (i, _), x in zip(rows, brute_of([t for _, t in rows])))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in out) == want
+    assert {(r.k1, r.k2, r.score) for r in out} == {("a", "b", "x")}
+    assert suffixes.remove_repeats(no_docs(spark), unit=unit, span=span, gram=span // 2).count() == 0
+
+
+def test_no_passage_of_over_50_words_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left = suffixes.remove_repeats(docs, **suffixes.PASSAGES)
+    seen = {}
+    for name, df in (("before", docs), ("after", left)):
+        where = defaultdict(set)
+        for r in df.collect():
+            words = [x[0] for x in plain_words(r.text)]
+            for k in range(len(words) - 50):
+                where[hash(tuple(words[k : k + 51]))].add(r.doc_id)
+        seen[name] = sum(len(x) > 1 for x in where.values())
+    assert seen["before"] > 1000 and seen["after"] == 0
+
+
 def test_text_column_and_edge_cases(spark):
     rows = [(1, "x" * 30 + "é" * 40, "k"), (2, "é" * 40 + "y" * 30, "k"), (3, None, None), (None, "alone", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string")
