@@ -24,8 +24,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long repeats; ``n_chars`` follows."""
-    cut = suffixes.remove_repeats(docs)
+    """Texts without the passages of over 50 words that stand elsewhere too; ``n_chars`` follows."""
+    cut = suffixes.remove_repeats(docs, **suffixes.PASSAGES)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
