@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import row_slices
+from ._shared import row_slices, written
 
 LEAK = "struct<item_id:long,distance:int,start:int,length:int>"
 BASE = 0x9E3779B1
@@ -60,7 +60,10 @@ class Lookup:
 
     size: int  # signs of a window of text
     holes: list[int]  # which sign to leave out
+    by_hole: bool  # text and piece leave out the same one
+    shift: int
     seen: np.ndarray  # by the upper bits of the hash
+    first: np.ndarray  # of these bits: where their hashes begin
     hashes: np.ndarray  # sorted
     piece: np.ndarray
 
@@ -81,6 +84,8 @@ class Index:
     width: np.ndarray
     edits: np.ndarray  # of each part at most
     masks: np.ndarray  # part, kind of sign: where the part has it
+    rest: np.ndarray  # of each piece: width, edits at most, place in its item, of what the smallest part has besides; width 0: nothing
+    rest_masks: np.ndarray  # piece, kind of sign: where the rest has it
 
 
 def _kind(cp: np.ndarray) -> np.ndarray:
@@ -91,8 +96,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint32(1)], np.full(n, base, np.uint32)]), dtype=np.uint32)
 
 
-def _holed(cp: np.ndarray, size: int, holes: list[int], up: np.ndarray, down: np.ndarray):
-    """Hashes of all windows of ``size`` signs, each without the sign at one place, hole by hole."""
+HOLE = np.uint32(0x27D4EB2F)
+
+
+def _holed(cp: np.ndarray, size: int, holes: list[int], up: np.ndarray, down: np.ndarray, by_hole: bool = False):
+    """Hashes of all windows of ``size`` signs, each without the sign at one place, hole by hole;
+    with ``by_hole`` those of different places have nothing in common."""
     v = (cp + np.uint32(1)) * np.uint32(0x85EBCA6B)
     v ^= v >> np.uint32(15)
     n = len(cp) - size + 1
@@ -101,9 +110,13 @@ def _holed(cp: np.ndarray, size: int, holes: list[int], up: np.ndarray, down: np
     sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum(v * up[: len(v)], dtype=np.uint32)])
     step = (v[:-1] - v[1:]) * up[: len(v) - 1]
     h = (sums[size : size + n] - sums[1 : 1 + n]) * np.uint32(INVERSE)
+    scale = down[:n] * np.uint32(0xC2B2AE35)
     for j in range(max(holes) + 1):
         if j in holes:
-            yield h * down[:n] * np.uint32(0xC2B2AE35)
+            x = h * scale
+            if by_hole:
+                x += np.uint32(((j + 1) * int(HOLE)) & 0xFFFFFFFF)
+            yield x
         if j + 1 < size:
             h += step[j : j + n]
 
@@ -121,11 +134,12 @@ def _tree(lo: int, hi: int, above: list, out: list) -> None:
 def build(items: list[tuple[int, str]], max_edits: float) -> Index:
     """An item of k allowed edits is cut into k // 2 + 1 pieces. A passage within k edits has at most
     2c - 1 of them in the whole of c pieces, so in one of its halves too, and so on down: some piece
-    has at most one edit, and each part on the way up to the item at most twice its pieces less one."""
+    has at most one edit, and each part on the way up to the item at most twice its pieces less one.
+    The piece, and what the smallest part holds besides it, are looked at first."""
     texts = [t for _, t in items]
     length = np.array([len(t) for t in texts], np.int64)
     allowed = np.floor(length * max_edits).astype(np.int64)
-    item, place, chains, strings, parts = [], [], [], {}, {}
+    item, place, chains, strings, parts, rest = [], [], [], {}, {}, []
     for i, (t, k) in enumerate(zip(texts, allowed.tolist())):
         m = k // 2 + 1
         cut = [j * len(t) // m for j in range(m + 1)]
@@ -135,6 +149,9 @@ def build(items: list[tuple[int, str]], max_edits: float) -> Index:
             strings.setdefault((size, k > 0), []).append(len(item))
             ranges = [(lo, hi) for lo, hi in above[j] if cut[hi] - cut[lo] <= WORD and hi - lo > 1]
             chains.append([parts.setdefault((i, cut[lo], cut[hi] - cut[lo], 2 * (hi - lo) - 1), len(parts)) for lo, hi in ranges])
+            lo, hi = ranges[0] if ranges else (j, j + 1)
+            lo, hi = (j + 1, hi) if lo == j else (lo, j)
+            rest.append((cut[hi] - cut[lo], 2 * (hi - lo) + 1, cut[lo]))
             item.append(i)
             place.append(cut[j])
     ups = np.full((max(map(len, chains)), len(item)), -1, np.int64)
@@ -144,23 +161,29 @@ def build(items: list[tuple[int, str]], max_edits: float) -> Index:
     for (i, begin, width, _), n in parts.items():
         for j, c in enumerate(_kind(points(texts[i][begin : begin + width])).tolist()):
             masks[n, c] |= np.uint64(1 << j)
+    rest = np.array(rest, np.int64)
+    lane = np.uint32 if rest[:, 0].max() <= 32 else np.uint64
+    rest_masks = np.zeros((len(item), 256), lane)
+    for n, (width, _, begin) in enumerate(rest.tolist()):
+        for j, c in enumerate(_kind(points(texts[item[n]][begin : begin + width])).tolist()):
+            rest_masks[n, c] |= lane(1 << j)
     column = lambda k: np.array([x[k] for x in parts], np.int64)
     lookups = []
     for (size, edit), pieces in strings.items():
         flat = points("".join(texts[item[p]][place[p] : place[p] + size] + "\x00" for p in pieces))
         up, down = _powers(BASE, len(flat)), _powers(INVERSE, len(flat))
         at = np.arange(len(pieces)) * (size + 1)
-        whole = next(_holed(flat, size + 1, [size], up, down))[at]
-        wanted = [(size + 1, [*range(1, size)] if edit else [size], whole[None])]
-        if edit:
-            wanted.append((size, [*range(size)], np.stack([h[at] for h in _holed(flat, size, [*range(size)], up, down)])))
-        for window, holes, h in wanted:
-            of = np.tile(np.array(pieces, np.int64), len(h))
-            order = np.argsort(h.ravel(), kind="stable")
-            seen = np.zeros(1 << 22, bool)
-            seen[h.ravel() >> np.uint32(10)] = True
-            lookups.append(Lookup(window, holes, seen, h.ravel()[order], of[order]))
-    return Index([i for i, _ in items], texts, allowed, length, lookups, np.array(item, np.int64), np.array(place, np.int64), ups, column(1), column(2), column(3), masks)
+        holed = lambda n, holes, by_hole=False: np.stack([h[at] for h in _holed(flat, n, holes, up, down, by_hole)])  # noqa: B023, E731
+        whole, every = holed(size + 1, [size]), [*range(size)]
+        # A sign too many, another sign, one too few; without edits the whole piece.
+        wanted = [(size + 1, every[1:], False, whole), (size, every, True, holed(size, every, True)), (size, [size - 1], False, holed(size, every))] if edit else [(size + 1, [size], False, whole)]
+        for window, holes, by_hole, h in wanted:
+            of, h = np.tile(np.array(pieces, np.int64), len(h)), h.ravel()
+            order = np.argsort(h, kind="stable")
+            shift = 32 - min(22, max(12, len(h).bit_length() + 4))
+            first = np.concatenate([[0], np.cumsum(np.bincount(h >> np.uint32(shift), minlength=1 << (32 - shift)))])
+            lookups.append(Lookup(window, holes, by_hole, shift, np.diff(first) > 0, first, h[order], of[order]))
+    return Index([i for i, _ in items], texts, allowed, length, lookups, np.array(item, np.int64), np.array(place, np.int64), ups, column(1), column(2), column(3), masks, rest, rest_masks)
 
 
 def _pieces_at(cp: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -170,19 +193,45 @@ def _pieces_at(cp: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
     found = [np.zeros(0, np.int64)]
     for x in ix.lookups:
         for begin in range(0, len(cp), block):
-            for h in _holed(cp[begin : begin + block + x.size - 1], x.size, x.holes, up, down):
-                at = np.flatnonzero(x.seen.take((h >> np.uint32(10)).astype(np.intp), mode="clip"))
-                h = h[at]
-                lo = np.searchsorted(x.hashes, h, "left")
-                hit = x.hashes[np.minimum(lo, len(x.hashes) - 1)] == h
-                at, lo, h = at[hit], lo[hit], h[hit]
-                n = np.searchsorted(x.hashes, h, "right") - lo
-                piece = x.piece[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                found.append((begin + np.repeat(at, n)) * len(ix.item) + piece)
+            for h in _holed(cp[begin : begin + block + x.size - 1], x.size, x.holes, up, down, x.by_hole):
+                bits = (h >> np.uint32(x.shift)).astype(np.intp)
+                at = np.flatnonzero(x.seen.take(bits, mode="clip"))
+                h, lo = h[at], x.first[bits[at]]
+                n = x.first[bits[at] + 1] - lo
+                k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hit = x.hashes[k] == np.repeat(h, n)
+                at, piece = np.repeat(at, n)[hit], x.piece[k[hit]]
+                found.append((begin + at) * len(ix.item) + piece)
     both = np.unique(np.concatenate(found))
     return both // len(ix.item), both % len(ix.item)
 
 
+def _rest_near(kinds: np.ndarray, pos: np.ndarray, piece: np.ndarray, ix: Index) -> np.ndarray:
+    """Whether the rest of the smallest part may stand beside each piece: within its edits, in a
+    stretch that holds every place where it can. Nothing that :func:`_holds` finds is lost."""
+    width, edits, begin = ix.rest[piece].T
+    after = begin > ix.place[piece]
+    start = pos + np.where(after, begin - ix.place[piece] - 2, -2 - width - edits)
+    lane = ix.rest_masks.dtype.type
+    one, none = lane(1), width == 0
+    top = np.maximum(width - 1, 0).astype(lane)
+    up, down = np.full(len(piece), ~lane(0)), np.zeros(len(piece), lane)
+    score = width.astype(np.int16)
+    best, row, flat = score.copy(), piece * 256, ix.rest_masks.ravel()
+    for s in range(int((width + edits).max(initial=0)) + 5):
+        eq = flat.take(row + kinds.take(start + s, mode="clip"))
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up), up & xh
+        score += ((ph >> top) & one).astype(np.int16)
+        score -= ((mh >> top) & one).astype(np.int16)
+        ph <<= one
+        mh <<= one
+        up, down = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return none | (best <= edits)
+
+
 def _holds(kinds: np.ndarray, pos: np.ndarray, piece: np.ndarray, part: np.ndarray, ix: Index) -> np.ndarray:
     """Whether each part is met within its edits around a piece; signs of one kind count as equal."""
     one = np.uint64(1)
@@ -214,6 +263,8 @@ def leaks_of(texts: list[str], ix: Index, chunk: int = 8192) -> list[list[dict]]
     kinds = _kind(cp)
     at, pieces = _pieces_at(cp, ix)
     found: list[dict[int, tuple]] = [{} for _ in texts]
+    keep = np.concatenate([_rest_near(kinds, at[c : c + chunk], pieces[c : c + chunk], ix) for c in range(0, max(1, len(at)), chunk)])
+    at, pieces = at[keep], pieces[keep]
     for c in range(0, len(at), chunk):
         pos, pc = at[c : c + chunk], pieces[c : c + chunk]
         for level in ix.ups:
@@ -248,8 +299,8 @@ def find_leaks(
     distance to some passage is at most ``max_edits`` of its length (up to 0.5), and every such item
     is found. An item is cut into so many pieces that one of them has at most one edit in any such
     passage; every whole text is searched for pieces with at most one edit, by hashes with one sign
-    left out. From each one met, larger and larger parts of the item are checked with the edits that
-    they may have (see :func:`build`), and what is left goes to the exact edit distance of the item
+    left out. From each one met, its neighbour and then larger and larger parts of the item are checked
+    with the edits that they may have (see :func:`build`), and what is left goes to the exact edit distance of the item
     over its neighbourhood. Of several passages near the item in one text one is given.
 
     Items are broadcast in blocks of about ``max_item_chars`` signs, so any number of them is
@@ -284,4 +335,6 @@ def find_leaks(
                     yield pa.RecordBatch.from_arrays([*part.columns[: n - 2], pa.array(leaks, part.column(n - 2).type), part.column(n - 1)], part.schema.names)
 
         out = out.mapInArrow(run, out.schema)
+        if b % 4 == 3 and b + 1 < blocks:  # a plan of bounded length, and few Python workers at a time
+            out = written(out, "leaks")
     return out.drop("lw_text")
