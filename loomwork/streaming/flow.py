@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,55 +32,6 @@ def cut_over(df: DataFrame, stream: str, order: list[str], size: Column, limit:
     return df.withColumns({"written": total, "taken": F.greatest(F.lit(0).cast("long"), F.least(size.cast("long"), F.lit(limit).cast("long") - before)), "full": total >= limit})
 
 
-# Growth of the window while starting and later, its least decay, rounds to leave the start.
-STARTING, STEADY, DECAY, ENOUGH, ROUNDS = (2, 1), (5, 4), (7, 8), (5, 4), 3
-
-
-def adaptive_windows(acks: DataFrame, stream: str, initial: int, least: int, most: int) -> DataFrame:
-    """The window after each acknowledgement of a stream whose sends are acknowledged in order.
-
-    ``acks`` has ``seq``, ``sent`` and ``acked`` (microseconds) and ``size``, all longs. The window
-    follows delivery rate times least round trip, grown by 2 at the start and by 5/4 later; it
-    falls to 7/8 at most where it was full at the send, and not at all where it was not. The start
-    ends after three rounds without growth of a quarter. A stream's rows stay in one group, as each
-    window depends on the one before.
-    """
-    schema = f"{stream} long, seq long, window long, min_rtt long, starting boolean"
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        sends = list(zip(pdf["seq"], pdf["sent"], pdf["acked"], pdf["size"]))
-        window, starting, calm, round_start, round_window = initial, True, 0, None, initial
-        delivered, last_ack, first, rtt, largest, in_flight = 0, None, None, None, 0, 0
-        at_send, rows, waiting = {}, [], sorted(range(len(sends)), key=lambda i: (sends[i][1], i))
-        for seq, sent, acked, size in sends:
-            while waiting and sends[waiting[0]][1] <= acked:
-                k = waiting.pop(0)
-                largest, in_flight = max(largest, sends[k][3]), in_flight + sends[k][3]
-                at_send[sends[k][0]] = (delivered, last_ack, window, in_flight >= window + largest)
-            was_delivered, was_acked, was_window, was_full = at_send[seq]
-            in_flight, delivered = in_flight - size, delivered + size
-            rtt = acked - sent if rtt is None else min(rtt, acked - sent)
-            if first is not None:
-                base_time, base = (was_acked, was_delivered) if was_acked is not None else first
-                if acked > base_time:
-                    up, down = STARTING if starting else STEADY
-                    rate = most if delivered - base > 2 * most else (delivered - base) * rtt * up // (acked - base_time) // down
-                    rate = min(rate, was_window * up // down)
-                    rate = max(rate, was_window * DECAY[0] // DECAY[1] if was_full else window)
-                    window = min(max(rate, least), most)
-                    if starting and (round_start is None or sent >= round_start):
-                        calm = 0 if window > round_window * ENOUGH[0] // ENOUGH[1] else calm + 1
-                        starting = calm < ROUNDS
-                        round_start, round_window = acked, window
-            last_ack = acked
-            first = first or (acked, delivered)
-            rows.append((pdf[stream].iloc[0], seq, window, rtt, starting))
-        return pd.DataFrame(rows, columns=[stream, "seq", "window", "min_rtt", "starting"])
-
-    return acks.select(stream, "seq", "sent", "acked", "size").groupBy(stream).applyInPandas(follow, schema)
-
-
 def stream_totals(events: DataFrame, key: str, size: Column) -> DataFrame:
     """Sends and bytes of each key, for a stream in update or complete mode or for a table."""
     return events.groupBy(key).agg(F.count("*").alias("sends"), F.sum(size).cast("long").alias("bytes"), F.max(size).cast("long").alias("largest"))
