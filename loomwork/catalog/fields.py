@@ -23,6 +23,30 @@ def fields(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(_rows(df.schema), "path string, ordinal int, type string, nullable boolean")
 
 
+def _nodes(schema: T.StructType, path: str, parent: str | None) -> list[tuple[str, str | None, int, int, int]]:
+    pointers = sum(isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType) for f in schema.fields)
+    out = [(path, parent, len(schema.fields), len(schema.fields) - pointers, pointers)]
+    for f in schema.fields:
+        inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+        if isinstance(inner, T.StructType):
+            out += _nodes(inner, f"{path}.{f.name}", path)
+    return out
+
+
+def nodes(df: DataFrame, name: str, scope: str) -> DataFrame:
+    """A row for each struct of ``df``, itself as ``name``: ``path``, ``parent``, the id derived from
+    the 16 digits of ``scope``, and how many fields, data fields and pointers it has."""
+    rows = df.sparkSession.createDataFrame(_nodes(df.schema, name, None), "path string, parent string, fields int, data int, pointers int")
+    return rows.withColumn("type_id", child_id(F.lit(scope), F.col("path")))
+
+
+def enumerants(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The values of a column as an enum: ``enum``, ``ordinal`` in the order of the values, ``name``."""
+    found = df.select(F.col(f"`{column}`").cast("string").alias("name")).where("name is not null").distinct()
+    ordered = found.agg(F.array_sort(F.collect_list("name")).alias("names"))  # an enum's names
+    return ordered.select(F.lit(name).alias("enum"), F.posexplode("names").alias("ordinal", "name"))
+
+
 def child_id(parent: Column, name: Column) -> Column:
     """A type's 64-bit id as 16 hexadecimal digits: of the digest of parent's digits and name, the
     first 8 bytes with the highest bit set."""

@@ -39,24 +39,31 @@ def safe_modulus(a: Column, b: Column) -> Column:
     return F.when(_undefined(a, b), F.lit(INT_MAX)).otherwise(F.try_mod(a.cast("long"), b.cast("long")).cast("int"))
 
 
+def _no_underscores(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(""))
+
+
 def parse_unsigned(text: Column) -> Column:
-    """Decimal or ``0x`` digits, underscores between them ignored; null for anything else."""
-    t = F.replace(text, F.lit("_"), F.lit(""))
-    digits = F.when(t.rlike("^[0-9]+$"), t).when(t.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.conv(F.substring(t, 3, 16), 16, 10))
-    value = digits.try_cast("decimal(38,0)")
+    """Decimal digits, with a plus sign or not, or ``0x`` and hexadecimal ones; underscores are
+    ignored; null for anything else (``0X`` too) and beyond 64 bits."""
+    t = _no_underscores(text)
+    hexes = F.when(t.rlike("^0x[0-9a-fA-F]+$"), F.regexp_replace(F.substring(t, 3, 1 << 30), "^0+(?=.)", ""))
+    digits = F.when(t.rlike(r"^\+?[0-9]+$"), F.regexp_replace(t, r"^\+?0*(?=.)", "")).when(F.length(hexes) <= 16, F.conv(hexes, 16, 10))
+    value = F.when(F.length(digits) <= 20, digits).try_cast("decimal(38,0)")
     return F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value.cast("decimal(20,0)"))
 
 
 def parse_signed(text: Column) -> Column:
-    """As :func:`parse_unsigned` with an optional minus sign, if a long can hold it."""
-    negative = text.startswith("-")
+    """As :func:`parse_unsigned` or with a minus sign, if a long can hold it."""
+    negative = text.startswith("-") & ~text.startswith("-+")
     size = parse_unsigned(F.when(negative, F.substring(text, 2, 1 << 30)).otherwise(text)).cast("decimal(38,0)")
     return F.when(negative, -size).otherwise(size).try_cast("long")
 
 
 def parse_float(text: Column) -> Column:
-    """A double; ``inf``, ``infinity`` and ``nan`` in any case, with a sign or not."""
+    """A double, underscores ignored; ``inf``, ``infinity`` and ``nan`` in any case, with a sign or not."""
     low = F.lower(text)
     bare = F.regexp_replace(low, "^[+-]", "")
     special = F.when(bare.isin("inf", "infinity"), F.when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).when(bare == "nan", F.lit(float("nan")))
-    return F.coalesce(special, F.when(low.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), low.try_cast("double")))
+    plain = _no_underscores(low)
+    return F.coalesce(special, F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), plain.try_cast("double")))

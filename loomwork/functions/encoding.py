@@ -15,10 +15,39 @@ def little_endian(value: Column, width: int) -> Column:
     return F.unhex(_swapped(F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * width)), width))
 
 
-def read_little_endian(raw: Column, start: Column | int, width: int) -> Column:
-    """An unsigned integer of ``width`` (at most 7) bytes from byte ``start`` (from 1)."""
-    part = F.hex(F.substring(raw, start, width) if isinstance(start, int) else F.substr(raw, start, F.lit(width)))
-    return F.conv(_swapped(part, width), 16, 10).cast("long")
+def read_little_endian(raw: Column, start: Column | int, width: int, signed: bool = False) -> Column:
+    """An integer of ``width`` (1 to 8) bytes from byte ``start`` (from 1), as a long. Unsigned ones
+    of 8 bytes beyond a long come back as the long of the same bits, which is what ``signed`` reads."""
+    if not 1 <= width <= 8:
+        raise ValueError("a little-endian integer has 1 to 8 bytes")
+    part = _swapped(F.hex(F.substring(raw, start, width) if isinstance(start, int) else F.substr(raw, start, F.lit(width))), width)
+    if width < 8:
+        value = F.conv(part, 16, 10).cast("long")
+        return F.when(value >= 1 << (8 * width - 1), value - (1 << 8 * width)).otherwise(value) if signed else value
+    return F.conv(part, 16, -10).cast("long")
+
+
+def double_bits(x: Column) -> Column:
+    """The bits of a double as a long (one form for nan), from its hexadecimal notation."""
+
+    def of(t: Column) -> Column:
+        negative, fraction = t.startswith("-"), F.rpad(F.regexp_extract(t, r"\.([0-9a-f]+)p", 1), 13, "0")
+        power = F.regexp_extract(t, r"p(-?[0-9]+)$", 1).try_cast("int")
+        normal = F.regexp_extract(t, r"0x([01])\.", 1) == "1"
+        mantissa = F.conv(F.when(fraction == "0" * 13, "0").otherwise(fraction), 16, 10).cast("long")
+        size = F.when(normal, F.shiftleft((power + 1023).cast("long"), 52)).otherwise(F.lit(0).cast("long")) + mantissa
+        return F.when(negative, size.bitwiseOR(F.lit(-(1 << 63)))).otherwise(size)
+
+    special = F.when(F.isnan(x), F.lit(0x7FF8 << 48)).when(x == float("inf"), F.lit(0x7FF << 52)).when(x == float("-inf"), F.lit(-(1 << 63) + (0x7FF << 52)))
+    return F.coalesce(special, let(F.format_string("%a", x), of))
+
+
+def bits_double(bits: Column) -> Column:
+    """The double of 64 bits, given as a long."""
+    power, mantissa = F.shiftright(bits, 52).bitwiseAND(F.lit(0x7FF)), bits.bitwiseAND(F.lit((1 << 52) - 1))
+    sign = F.when(bits < 0, -1.0).otherwise(1.0)
+    finite = F.when(power == 0, mantissa * F.lit(2.0**-1074)).otherwise((mantissa + F.lit(1 << 52)) * F.lit(2.0**-52) * F.pow(F.lit(2.0), (power - 1023).cast("double")))
+    return F.when(power == 0x7FF, F.when(mantissa == 0, sign * float("inf")).otherwise(F.lit(float("nan")))).otherwise(sign * finite)
 
 
 def to_base64(raw: Column) -> Column:
@@ -45,20 +74,57 @@ def from_hex(text: Column) -> Column:
 ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
 
 
+_CONTROL = "[\\x00-\\x1f\\x7f\\x{80}-\\x{9f}]"
+
+
+def _octal(raw: Column) -> Column:
+    """Bytes (as text) as three octal digits each."""
+    h = F.hex(raw)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda i: F.concat(F.lit("\\"), F.lpad(F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 8), 3, "0"))), "")
+
+
 def quote(text: Column) -> Column:
+    """Text in quotes; control characters as octal bytes."""
     for plain, escaped in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(escaped))
-    return F.concat(F.lit('"'), text, F.lit('"'))
+    signs = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_CONTROL), _octal(c)).otherwise(c))
+    return F.concat(F.lit('"'), F.when(text.rlike(_CONTROL), F.array_join(signs, "")).otherwise(text), F.lit('"'))
 
 
-def unquote(text: Column) -> Column:
-    """The text inside quotes; null without them. A doubled backslash waits behind a sign that
-    text cannot hold while the other escapes are undone."""
+def quote_bytes(raw: Column) -> Column:
+    """Bytes in quotes; all but printable ASCII as octal bytes."""
+    plain = {p: e for p, e in ESCAPES}
+    h = F.hex(raw)
+
+    def sign(i: Column) -> Column:
+        n = F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        out = F.when(n.between(32, 126), F.chr(n)).otherwise(F.concat(F.lit("\\"), F.lpad(F.conv(n.cast("string"), 10, 8), 3, "0")))
+        for p, e in plain.items():
+            out = F.when(n == ord(p), e).otherwise(out)
+        return out
+
+    places = F.filter(F.sequence(F.lit(0), F.octet_length(raw)), lambda i: i < F.octet_length(raw))
+    return F.concat(F.lit('"'), F.array_join(F.transform(places, sign), ""), F.lit('"'))
+
+
+def unquote_bytes(text: Column) -> Column:
+    """The bytes inside quotes: the escapes, ``\\ooo`` and ``\\xhh``; null without quotes or where an
+    escape is none of these."""
     inner = F.when(text.rlike('(?s)^".*"$'), F.substr(text, F.lit(2), F.length(text) - 2))
-    inner = F.replace(inner, F.lit("\\\\"), F.lit("\x00\x00"))
-    for plain, escaped in ESCAPES[1:]:
-        inner = F.replace(inner, F.lit(escaped), F.lit(plain))
-    return F.replace(inner, F.lit("\x00\x00"), F.lit("\\"))
+    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)(\\[0-3][0-7]{2}|\\x[0-9a-fA-F]{2}|\\[^0-9x]|[^\\]+|\\)"), F.lit(1))
+
+    def raw(p: Column) -> Column:
+        out = F.when(p.rlike(r"^\\[0-3]"), F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0")).when(p.rlike(r"^\\x"), F.substring(p, 3, 2)).when(~p.startswith("\\"), F.hex(p))
+        for plain, escaped in ESCAPES:
+            out = F.when(p == escaped, F.lit(plain.encode().hex())).otherwise(out)
+        return out
+
+    return let(F.transform(pieces, raw), lambda h: F.when(~F.exists(h, lambda x: x.isNull()), F.unhex(F.array_join(h, ""))))
+
+
+def unquote(text: Column) -> Column:
+    """The text inside quotes, see :func:`unquote_bytes`; null also where it is not UTF-8."""
+    return let(unquote_bytes(text).cast("string"), lambda t: F.when(F.is_valid_utf8(t), t))
 
 
 def let(value: Column, then) -> Column:

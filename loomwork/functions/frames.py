@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .encoding import let, little_endian, read_little_endian
+from .encoding import bits_double, double_bits, let, little_endian, read_little_endian
 
 # Limits of a frame.
 MAX_SEGMENTS, MAX_WORDS = 512, 8 << 20
@@ -57,55 +59,106 @@ def pack_words(raw: bytes) -> bytes:
 
     After a tag of 0 comes the number of zero words that follow, after one of 255 the number of
     words, of one zero byte at most, that follow as they are; both stop at 255."""
-    out, i, n = bytearray(), 0, len(raw) // 8
-    words = [raw[8 * k : 8 * k + 8] for k in range(n)]
+    return pack_many([raw])[0]
+
+
+def frame_of(record: Column, schema: T.StructType) -> Column:
+    """A record of 64-bit integers and doubles as a frame of one segment, a word a field."""
+    word = lambda f: double_bits(record.getField(f.name)) if isinstance(f.dataType, T.DoubleType) else record.getField(f.name)
+    return encode_frame(F.array(F.concat(*(little_endian(word(f), 8) for f in schema.fields))))
+
+
+def record_of(raw: Column, schema: T.StructType) -> Column:
+    """The record in a frame of :func:`frame_of`; fields beyond its segment are null."""
+
+    def read(first: Column) -> Column:
+        words = {f.name: F.when(F.octet_length(first) >= 8 * k + 8, read_little_endian(first, 8 * k + 1, 8)) for k, f in enumerate(schema.fields)}
+        return F.struct(*((bits_double(words[f.name]) if isinstance(f.dataType, T.DoubleType) else words[f.name]).alias(f.name) for f in schema.fields))
+
+    return let(F.get(parse_frame(raw), F.lit(0)), read)
+
+
+def _run_heads(member: np.ndarray, row: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that head a run, and how many follow them: a head is the first of ``opens`` in a stretch
+    of ``member`` words of one row, 255 at most follow, and then the next one of ``opens`` heads."""
+    edge = np.flatnonzero(np.append(True, (member[1:] != member[:-1]) | (row[1:] != row[:-1]) | ~member[1:]))
+    ends = np.append(edge[1:], len(member))
+    last = np.repeat(ends, ends - edge)  # of each word: the end of its stretch
+    heads, counts, at = [], [], 0
+    for k in np.flatnonzero(opens).tolist():
+        if k >= at:
+            at = min(k + 256, int(last[k]))
+            heads.append(k)
+            counts.append(at - k - 1)
+    return np.array(heads, np.int64), np.array(counts, np.int64)
+
+
+def pack_many(raws: list[bytes]) -> list[bytes]:
+    """:func:`pack_words` of many byte strings of whole words at once."""
+    words = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, 8)
+    sizes = np.array([len(r) // 8 for r in raws], np.int64)
+    if not len(words):
+        return [b""] * len(raws)
+    row, some = np.repeat(np.arange(len(raws)), sizes), words != 0
+    zeros = 8 - some.sum(axis=1)
+    # A column for the tag, for each byte and for the count, and which of them are written.
+    cells = np.zeros((len(words), 10), np.uint8)
+    cells[:, 0], cells[:, 1:9] = np.packbits(some, axis=1, bitorder="little")[:, 0], words
+    shown = np.zeros((len(words), 10), bool)
+    shown[:, 0], shown[:, 1:9] = True, some
+    covered = np.zeros(len(words) + 1, np.int64)
+    for member, opens in ((zeros <= 1, zeros == 0), (zeros == 8, zeros == 8)):
+        heads, counts = _run_heads(member, row, opens)
+        if len(heads):
+            cells[heads, 9], shown[heads, 9] = counts, True
+            covered[heads + 1] += 1
+            covered[heads + 1 + counts] -= 1
+    inside = np.cumsum(covered[:-1]) > 0
+    shown[inside, 0] = False
+    shown[inside, 1:9] = zeros[inside, None] != 8
+    flat, at = cells[shown].tobytes(), np.concatenate([[0], np.cumsum(shown.sum(axis=1))])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return [flat[at[a] : at[b]] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def unpack_some(packed: bytes) -> tuple[bytes, int]:
+    """What the whole items at the beginning of ``packed`` stand for, and how many bytes they take."""
+    out, i, n = bytearray(), 0, len(packed)
     while i < n:
-        word = words[i]
-        i += 1
-        out.append(sum(1 << k for k in range(8) if word[k]))
-        out += word.replace(b"\0", b"")
-        if word.count(0) == 8:
-            run = i
-            while run < min(n, i + 255) and not any(words[run]):
-                run += 1
-            out.append(run - i)
-            i = run
-        elif word.count(0) == 0:
-            run = i
-            while run < min(n, i + 255) and words[run].count(0) <= 1:
-                run += 1
-            out.append(run - i)
-            out += b"".join(words[i:run])
-            i = run
-    return bytes(out)
+        tag = packed[i]
+        size = tag.bit_count()
+        end = i + 1 + size + (tag in (0, 255))
+        if end > n:
+            break
+        run = packed[end - 1]
+        if tag == 0:
+            out += bytes(8 + 8 * run)
+        elif tag == 255:
+            if end + 8 * run > n:
+                break
+            out += packed[i + 1 : i + 9] + packed[end : end + 8 * run]
+            end += 8 * run
+        else:
+            word, at = bytearray(8), i + 1
+            while tag:
+                low = tag & -tag
+                word[low.bit_length() - 1] = packed[at]
+                tag, at = tag ^ low, at + 1
+            out += word
+        i = end
+    return bytes(out), i
 
 
 def unpack_words(packed: bytes) -> bytes | None:
     """What :func:`pack_words` was given; None where ``packed`` ends within a word."""
-    out, i = bytearray(), 0
-    while i < len(packed):
-        tag = packed[i]
-        size = tag.bit_count()
-        data = iter(packed[i + 1 : i + 1 + size])
-        i += 1 + size
-        if i > len(packed) or (tag in (0, 255) and i >= len(packed)):
-            return None
-        out += bytes(next(data) if tag >> k & 1 else 0 for k in range(8))
-        if tag in (0, 255):
-            run = packed[i]
-            i += 1
-            if tag:
-                if i + 8 * run > len(packed):
-                    return None
-                out += packed[i : i + 8 * run]
-                i += 8 * run
-            else:
-                out += bytes(8 * run)
-    return bytes(out)
+    out, used = unpack_some(packed)
+    return out if used == len(packed) else None
 
 
 def _packed(raws: pd.Series) -> pd.Series:
-    return raws.map(lambda x: None if x is None or len(x) % 8 else pack_words(bytes(x)))
+    whole = [bytes(x) if x is not None and len(x) % 8 == 0 else None for x in raws]
+    done = iter(pack_many([x for x in whole if x is not None]))
+    return pd.Series([None if x is None else next(done) for x in whole], index=raws.index, dtype=object)
 
 
 def _unpacked(raws: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,27 @@ def move_field(record: Column, source: str, target: str, kind: str) -> Column:
     return clear_field(record.withField(target, record.getField(source)), source, kind)
 
 
+def set_arm(union: Column, names: Sequence[str], arm: str, value: Column) -> Column:
+    """The union with another active arm: its value and the tag change together."""
+    arms = [(value if n == arm else F.when(F.lit(False), union.getField(n))).alias(n) for n in names]
+    return F.when(union.isNotNull(), F.struct(F.lit(list(names).index(arm)).alias("tag"), *arms))
+
+
+_STEP = re.compile(r"\.?([A-Za-z_]\w*)|\[([0-9]+)\]")
+
+
+def at_path(record: Column, path: str) -> Column:
+    """What stands at a path such as ``home.rooms[3].name``; null outside a list."""
+    at = 0
+    while at < len(path):
+        m = _STEP.match(path, at)
+        if not m or (at == 0) != (path[at : at + 1] not in ".["):
+            raise ValueError(f"no path: {path}")
+        record = record.getField(m[1]) if m[1] else F.get(record, F.lit(int(m[2])))
+        at = m.end()
+    return record
+
+
 def field_at(record: Column, schema: T.StructType, index: int) -> Column:
     return record.getField(schema.fieldNames()[index])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_policy import encode
+from ..functions.json_policy import decode, encode
 
 
 def _defaults_out(value: Column, kind: T.DataType) -> Column:
@@ -33,6 +33,12 @@ def canonical(df: DataFrame, columns: list[str]) -> Column:
     return encode(_defaults_out(record, schema), schema)
 
 
+def is_canonical(text: Column, schema: T.StructType) -> Column:
+    """Whether a record's text is its canonical one; null where it is no record of ``schema``."""
+    record = decode(text, schema)
+    return F.when(record.isNotNull(), encode(_defaults_out(record, schema), schema) == text)
+
+
 def distinct_records(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each distinct record: its ``digest`` and how many rows hold it. Only digests are
     shuffled, after each task has counted its own."""

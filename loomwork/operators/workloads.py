@@ -78,6 +78,32 @@ def evaluate_trees(nodes: DataFrame) -> DataFrame:
     return roots
 
 
+#: Of the calculator; others give null.
+_FUNCTIONS = {"add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": F.try_divide}
+
+
+def calculate(steps: DataFrame, functions: dict | None = None) -> DataFrame:
+    """Calculations over doubles, a row a step: ``calc``, ``step``, ``op``, and of either side a
+    ``value``, or as ``ref`` the step of the same calculation whose result it takes.
+
+    A calculation's steps, in order, are one array, along which the results so far are handed on;
+    a ref to a later, or no, step gives null, as does an unknown ``op``. Returns ``calc``, ``step``,
+    ``result``. ``functions`` are columns of two doubles, by name."""
+    functions = functions or _FUNCTIONS
+    sides = [F.struct(F.col(f"{s}.value").cast("double").alias("value"), F.col(f"{s}.ref").cast("int").alias("ref")).alias(s) for s in ("left", "right")]
+    calcs = steps.groupBy("calc").agg(F.sort_array(F.collect_list(F.struct(F.col("step").cast("int").alias("step"), "op", *sides))).alias("steps"))
+
+    def follow(done: Column, x: Column) -> Column:
+        of = lambda side: F.coalesce(side.value, F.try_element_at(done, side.ref))
+        result = F.lit(None).cast("double")
+        for name, f in functions.items():
+            result = F.when(x.op == name, f(of(x.left), of(x.right))).otherwise(result)
+        return F.map_concat(done, F.create_map(x.step, result))
+
+    results = F.aggregate("steps", F.create_map().cast("map<int,double>"), follow)
+    return calcs.select("calc", F.explode(results).alias("step", "result"))
+
+
 def summary(*fields: Column, items: Column, tail: Column) -> Column:
     """Fields, a joined list and a label that depends on a union, with bars between."""
     return F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields), F.array_join(items, ","), tail)

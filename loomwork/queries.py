@@ -123,6 +123,23 @@ def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", wl.summary(F.col("o_orderkey"), status, F.col("o_orderpriority"), items=items, tail=tail).alias("summary"))
 
 
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
+  steps AS (SELECT l_orderkey, k, v * 2.0 AS r FROM l WHERE k = 1
+    UNION ALL SELECT s.l_orderkey, l.k, CASE l.k % 3 WHEN 0 THEN s.r - l.v WHEN 1 THEN s.r * l.v ELSE s.r / l.v END FROM steps s JOIN l ON l.l_orderkey = s.l_orderkey AND l.k = s.k + 1)
+SELECT l_orderkey AS calc, k::INTEGER AS step, r AS result FROM steps""")
+def calculator_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a calculation whose steps take the result of the step before."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    k = F.row_number().over(w)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("calc"), k.alias("step"), F.col("l_quantity").cast("double").alias("v"))
+    s = F.col("step")
+    op = F.when(s == 1, "multiply").otherwise(F.get(F.array(*(F.lit(x) for x in ("subtract", "multiply", "divide"))), s % 3))
+    side = lambda value, ref: F.struct(value.cast("double").alias("value"), ref.cast("int").alias("ref"))
+    first, none = s == 1, F.lit(None)
+    return wl.calculate(lines.select("calc", "step", op.alias("op"), side(F.when(first, F.col("v")), F.when(~first, s - 1)).alias("left"), side(F.when(first, 2.0).otherwise(F.col("v")), none).alias("right")))
+
+
 # Arithmetic and text
 
 
@@ -146,7 +163,7 @@ def guarded_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, o_orderkey AS from_hex, -o_orderkey AS negative, o_custkey * 1000 + 7 AS grouped,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity'::DOUBLE ELSE o_totalprice END AS real, NULL::BIGINT AS refused FROM orders""")
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity'::DOUBLE ELSE o_totalprice END AS real, NULL::BIGINT AS refused, o_custkey AS plus, NULL::BIGINT AS upper_prefix, o_custkey * 1000 + 0.5::DOUBLE AS grouped_real FROM orders""")
 def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     return o.select(
@@ -156,6 +173,8 @@ def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         ar.parse_unsigned(F.concat(F.col("o_custkey").cast("string"), F.lit("_007"))).cast("long").alias("grouped"),
         ar.parse_float(F.when(k % 3 == 0, F.lit("+INF")).otherwise(F.col("o_totalprice").cast("string"))).alias("real"),
         ar.parse_signed(F.concat(k.cast("string"), F.lit(", other = 2"))).alias("refused"),
+        ar.parse_signed(F.concat(F.lit("+"), "o_custkey")).alias("plus"), ar.parse_unsigned(F.concat(F.lit("0X"), "o_custkey")).cast("long").alias("upper_prefix"),
+        ar.parse_float(F.concat("o_custkey", F.lit("_000.5"))).alias("grouped_real"),
     )
 
 
@@ -172,28 +191,37 @@ def format_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT doc_id, '"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), '''', '\\'''), chr(10), '\\n') || '"' AS quoted, true AS returned FROM documents""")
+_QUOTED_SQL = r"""'"' || replace(replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), '''', '\'''), chr(10), '\n'), chr(1), '\001') || '"'"""
+
+
+@query(f"SELECT doc_id, {_QUOTED_SQL.format('text || chr(1)')} AS quoted, md5(text || chr(1)) AS returned_md5, 'aÿ' || chr(10) AS escapes, 0 AS refused FROM documents")
 def quote_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quoted = en.quote(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", quoted.alias("quoted"), (en.unquote(quoted) == F.col("text")).alias("returned"))
+    """Texts with a control character, and what comes back from the quotes."""
+    text = F.concat("text", F.lit("\x01"))
+    quoted = en.quote(text)
+    return table(spark, sf_dir, "documents").select("doc_id", quoted.alias("quoted"), F.md5(en.unquote(quoted)).alias("returned_md5"), en.unquote(F.lit(r'"\x61\303\277\n"')).alias("escapes"), F.coalesce(F.length(en.unquote(F.lit(r'"\9"'))), F.lit(0)).alias("refused"))
 
 
-@query("SELECT doc_id, to_base64(encode(text)) AS encoded, true AS returned, NULL::BLOB AS refused FROM documents")
+@query("SELECT doc_id, to_base64(encode(text)) AS encoded, md5(text) AS returned_md5, NULL::BLOB AS refused FROM documents")
 def base64_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = en.to_base64(F.col("text").cast("binary"))
-    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("encoded"), (en.from_base64(coded).cast("string") == F.col("text")).alias("returned"), en.from_base64(F.concat(coded, F.lit("="))).alias("refused"))
+    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("encoded"), F.md5(en.from_base64(coded)).alias("returned_md5"), en.from_base64(F.concat(coded, F.lit("="))).alias("refused"))
 
 
-@query("SELECT doc_id, lower(hex(encode(text))) AS encoded, true AS returned, NULL::BLOB AS refused FROM documents")
+@query("SELECT doc_id, lower(hex(encode(text))) AS encoded, md5(text) AS returned_md5, NULL::BLOB AS refused FROM documents")
 def hex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = en.to_hex(F.col("text").cast("binary"))
-    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("encoded"), (en.from_hex(coded).cast("string") == F.col("text")).alias("returned"), en.from_hex(F.concat(coded, F.lit("a"))).alias("refused"))
+    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("encoded"), F.md5(en.from_hex(coded)).alias("returned_md5"), en.from_hex(F.concat(coded, F.lit("a"))).alias("refused"))
 
 
-@query("SELECT doc_id, true AS valid, false AS broken FROM documents")
+@query("""
+SELECT doc_id, bytes < 256 OR ascii(substr(text, 1, 1)) < 128 AS cut_valid, doc_id % 3 <> 1 AS changed_valid FROM (SELECT *, strlen(text) AS bytes FROM documents)""".replace("bytes < 256 OR ", ""))
 def utf8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.is_valid_utf8("text").alias("valid"), F.is_valid_utf8(F.concat(F.col("text").cast("binary"), F.lit(b"\xff")).cast("string")).alias("broken"))
+    """Texts cut to the first byte of a character are valid where that is its only one; a byte that
+    stands alone in every third text makes it invalid."""
+    text = F.col("text").cast("binary")
+    changed = F.concat(text, F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xc3\xa9")).when(F.col("doc_id") % 3 == 1, F.lit(b"\xc3")).otherwise(F.lit(b"")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.is_valid_utf8(F.substring(text, 1, 1).cast("string")).alias("cut_valid"), F.is_valid_utf8(changed.cast("string")).alias("changed_valid"))
 
 
 @query("""
@@ -214,11 +242,13 @@ def enum_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT *, (user_id % 4)::INTEGER AS tag FROM events)
 SELECT event_id, tag, CASE WHEN tag = 1 THEN user_id END AS number, CASE WHEN tag = 2 THEN event_type END AS word,
-  CASE tag WHEN 0 THEN 'none' WHEN 1 THEN 'number' WHEN 2 THEN 'word' ELSE 'unknown(' || tag || ')' END AS active, tag = 0 AS none_present FROM t""")
+  CASE tag WHEN 0 THEN 'none' WHEN 1 THEN 'number' WHEN 2 THEN 'word' ELSE 'unknown(' || tag || ')' END AS active, tag = 0 AS none_present,
+  2 AS set_tag, 'e' || event_id AS set_word, NULL::BIGINT AS set_number FROM t""")
 def union_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = re_.union_value(F.col("user_id") % 4, {"none": F.lit(None).cast("boolean"), "number": F.col("user_id"), "word": F.col("event_type")})
     e = table(spark, sf_dir, "events").select("event_id", u.alias("u"))
-    return e.select("event_id", "u.tag", "u.number", "u.word", re_.which(F.col("u"), ["none", "number", "word"]).alias("active"), re_.is_present(F.col("u.none"), F.col("u.tag"), 0).alias("none_present"))
+    e = e.withColumn("s", re_.set_arm(F.col("u"), ["none", "number", "word"], "word", F.concat(F.lit("e"), "event_id")))
+    return e.select("event_id", "u.tag", "u.number", "u.word", re_.which(F.col("u"), ["none", "number", "word"]).alias("active"), re_.is_present(F.col("u.none"), F.col("u.tag"), 0).alias("none_present"), "s.tag", "s.word", "s.number").toDF("event_id", "tag", "number", "word", "active", "none_present", "set_tag", "set_word", "set_number")
 
 
 @query("""
@@ -238,10 +268,10 @@ def default_elision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey, c_name AS detail_name, c_nationkey AS detail_nation, c_mktsegment FROM customer")
+@query("SELECT c_custkey, c_name AS detail_name, c_nationkey * 2 AS detail_inner_twice, c_mktsegment FROM customer")
 def flatten_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("detail"), "c_mktsegment")
-    return re_.flatten_record(c, "detail", "detail_")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.struct((F.col("c_nationkey") * 2).alias("twice")).alias("inner")).alias("detail"), "c_mktsegment")
+    return re_.flatten_record(re_.flatten_record(c, "detail", "detail_"), "detail_inner", "detail_inner_")
 
 
 @query("SELECT c_custkey, c_name AS by_name, c_nationkey AS by_index, c_name AS moved, true AS source_cleared, 99 AS changed, 'int' AS kind FROM customer")
@@ -264,21 +294,36 @@ def json_decode_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, '{"eventId":"' || event_id || '","user":{"id":"' || user_id || '"' || CASE WHEN event_type <> 'view' THEN ',"type":"' || event_type || '"' ELSE '' END || '},"bytes":[' || ascii(event_type[1]) || ',' || ascii(event_type[2]) || '],"list":["1","' || user_id || '"]}' AS json FROM events""")
+SELECT event_id, '{"eventId":"' || event_id || '","user":{"id":"' || user_id || '"' || CASE WHEN event_type <> 'view' THEN ',"type":"' || event_type || '"' ELSE '' END || '},"bytes":[' || ascii(event_type[1]) || ',' || ascii(event_type[2])
+  || '],"none":[],"list":["1","' || user_id || '"],"parts":[{"n":' || (user_id % 9) || '},null],"half":' || (user_id // 2) || CASE WHEN user_id % 2 = 1 THEN '.5' ELSE '' END || ',"huge":' || CASE WHEN event_id % 9 = 0 THEN '0' ELSE (event_id % 9) || 'e25' END
+  || ',"nothing":"NaN","name":"<' || event_type || '>"}' AS json FROM events""")
 def json_encode_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records, lists, bytes, none of them, doubles, and a field with a handler of its own."""
     user = F.struct(F.col("user_id").alias("id"), re_.unless_default(F.col("event_type"), "view").alias("type"))
-    r = F.struct(F.col("event_id").alias("eventId"), user.alias("user"), F.substring(F.col("event_type").cast("binary"), 1, 2).alias("bytes"), F.array(F.lit(1).cast("long"), F.col("user_id")).alias("list"))
+    part = F.struct((F.col("user_id") % 9).cast("int").alias("n"))
+    r = F.struct(
+        F.col("event_id").alias("eventId"), user.alias("user"), F.substring(F.col("event_type").cast("binary"), 1, 2).alias("bytes"), F.lit(b"").alias("none"), F.array(F.lit(1).cast("long"), F.col("user_id")).alias("list"),
+        F.array(part, F.when(F.lit(False), part)).alias("parts"), (F.col("user_id") / 2).alias("half"), F.concat(F.col("event_id") % 9, F.lit("e25")).cast("double").alias("huge"), F.lit(float("nan")).alias("nothing"), F.col("event_type").alias("name"))
     e = table(spark, sf_dir, "events").select("event_id", r.alias("r"))
-    return e.select("event_id", js.encode(F.col("r"), e.schema["r"].dataType).alias("json"))
+    return e.select("event_id", js.encode(F.col("r"), e.schema["r"].dataType, {"name": lambda x: F.concat(F.lit('"<'), x, F.lit('>"'))}).alias("json"))
 
 
-@query("SELECT event_id, user_id AS number, NULL::BIGINT AS refused, NULL::BIGINT AS fraction, true AS flag, 9007199254740993::BIGINT AS exact FROM events")
+@query("""
+SELECT event_id, user_id AS number, NULL::BIGINT AS refused, NULL::BIGINT AS fraction, true AS flag, NULL::BOOLEAN AS quoted_flag, 9007199254740993::BIGINT AS exact, user_id / 4 AS real, 'Infinity'::DOUBLE AS endless, lower(hex(encode(event_type[1]))) || 'ff' AS data, NULL::VARCHAR AS beyond,
+  event_type AS label, [1, NULL, (user_id % 7)::INTEGER] AS list, event_id % 2 = 0 AS accepted FROM events""")
 def json_typed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted integers are read, anything beside their digits is refused, and none goes through a float."""
-    fields = [("number", T.LongType()), ("refused", T.LongType()), ("fraction", T.LongType()), ("flag", T.BooleanType()), ("exact", T.LongType())]
+    """Each type takes its own forms: quoted integers, names of floats, arrays of bytes, nested records
+    and lists. Anything beside the digits of an integer is refused, none goes through a float, and a
+    field that comes twice spoils the record."""
+    inner = T.StructType([T.StructField("label", T.StringType()), T.StructField("list", T.ArrayType(T.IntegerType()))])
+    fields = [("number", T.LongType()), ("refused", T.LongType()), ("fraction", T.LongType()), ("flag", T.BooleanType()), ("quoted_flag", T.BooleanType()), ("exact", T.LongType()), ("real", T.DoubleType()), ("endless", T.DoubleType()), ("data", T.BinaryType()), ("beyond", T.BinaryType()), ("inner", inner)]
     schema = T.StructType([T.StructField(n, k) for n, k in fields])
-    text = F.concat(F.lit('{"number":"'), F.col("user_id").cast("string"), F.lit('","refused":"1, other = 2","fraction":1.5,"flag":true,"exact":9007199254740993}'))
-    return table(spark, sf_dir, "events").select("event_id", js.decode(text, schema).alias("d")).select("event_id", "d.*")
+    e = table(spark, sf_dir, "events").withColumn("first", F.ascii("event_type"))
+    form = '{"number":"%d","refused":"1, other = 2","fraction":1.5,"flag":true,"quoted_flag":"true","exact":9007199254740993,"real":%s,"endless":"Infinity","data":[%d,255],"beyond":[1,256],"unknown":[{}],"inner":{"list":[1,"x","%d"],"label":"%s"}}'
+    e = e.withColumn("t", F.format_string(form, "user_id", (F.col("user_id") / 4).cast("string"), "first", F.col("user_id") % 7, "event_type"))
+    twice = F.when(F.col("event_id") % 2 == 1, F.replace("t", F.lit('"flag":true'), F.lit('"flag":true,"flag":false'))).otherwise(F.col("t"))
+    e = e.select("event_id", js.decode(F.col("t"), schema).alias("d"), js.decode(twice, schema).isNotNull().alias("accepted"))
+    return e.select("event_id", "d.*", "accepted").withColumns({"label": F.col("inner.label"), "list": F.col("inner.list"), "data": en.to_hex(F.col("data")), "beyond": en.to_hex(F.col("beyond"))}).drop("inner")
 
 
 # Lists and evolution
@@ -305,6 +350,28 @@ def evolve_v1_over_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "v1_values", F.col("values.value").alias("v2_values"), F.array_join(F.col("values.label"), "").alias("v2_labels"), F.col("recordId").alias("record_id"), "email")
 
 
+_UPGRADES = [("int", "struct<value:int>", True), ("boolean", "struct<value:boolean>", False), ("struct<value:int>", "boolean", False), ("int", "string", False), ("string", "struct<value:int>", False), ("string", "struct<value:int,label:string>", True), ("bigint", "int", True),
+             ("tinyint", "smallint", False), ("struct<value:int,label:string>", "int", True), ("struct<value:int,label:string>", "string", True), ("struct<value:int>", "bigint", False), ("array<bigint>", "array<int>", True), ("array<int>", "string", False), ("struct<a:int>", "struct<b:int,c:string>", True)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(ok).lower()})" for a, b, ok in _UPGRADES) + ") t(stored, wanted, readable)")
+def list_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lists can be read as which, worked out by hand in the SQL."""
+    return spark.createDataFrame([(a, b, li.upgrades(a, b)) for a, b, _ in _UPGRADES], "stored string, wanted string, readable boolean")
+
+
+@query(f"""
+SELECT l_orderkey, list((l_linenumber % 5)::INTEGER ORDER BY l_linenumber, l_partkey) AS ordinals, list({_TYPES_SQL}[l_linenumber % 5 + 1] ORDER BY l_linenumber, l_partkey) AS names,
+  [-1] || list(l_linenumber ORDER BY l_linenumber, l_partkey)[2:] AS changed, min(l_linenumber) * 10 AS first_inner FROM lineitem GROUP BY l_orderkey""")
+def list_enums_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list read as enums, one element set, and a value at a path into nested lists."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x.l_linenumber)
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("v"))
+    enums = li.as_enums(F.transform("v", lambda x: x % 5), EVENT_TYPES)
+    record = F.struct(F.transform("v", lambda x: F.struct(F.array(x, x * 10).alias("sizes"))).alias("parts"))
+    return l.select("l_orderkey", F.transform(enums, lambda e: e.ordinal).alias("ordinals"), F.transform(enums, lambda e: e["name"]).alias("names"), li.set_at(F.col("v"), 0, F.lit(-1)).alias("changed"), re_.at_path(record, "parts[0].sizes[1]").alias("first_inner"))
+
+
 @query("SELECT conv_id, list(turn ORDER BY turn, part) AS flat, count(*)::INTEGER AS size FROM (SELECT conv_id, turn, unnest([0, 1]) AS part FROM conversations) GROUP BY conv_id")
 def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.array("turn", "turn"))).alias("lists"))
@@ -312,12 +379,17 @@ def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber) AS items, [list(l_partkey) FILTER (l_linenumber = 1)[1], list(l_partkey) FILTER (l_linenumber = 2)[1], list(l_partkey) FILTER (l_linenumber = 3)[1]] AS slots
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) GROUP BY 1""".replace("list(l_partkey) FILTER (l_linenumber = 1)[1]", "min(l_partkey) FILTER (l_linenumber = 1)").replace("list(l_partkey) FILTER (l_linenumber = 2)[1]", "min(l_partkey) FILTER (l_linenumber = 2)").replace("list(l_partkey) FILTER (l_linenumber = 3)[1]", "min(l_partkey) FILTER (l_linenumber = 3)"))
+WITH parts AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber % 3 <> 2 GROUP BY 1, 2),
+  slots AS (SELECT l_orderkey, unnest(range(1, max(l_linenumber) + 1)) AS k FROM lineitem GROUP BY 1)
+SELECT slots.l_orderkey, list(l_partkey ORDER BY k) FILTER (l_linenumber IS NOT NULL) AS items, list(l_partkey ORDER BY k) AS slots
+FROM slots LEFT JOIN parts ON slots.l_orderkey = parts.l_orderkey AND l_linenumber = k GROUP BY slots.l_orderkey HAVING count(l_linenumber) > 0""")
 def list_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    """Lists from all lines but every third slot, with and without the empty slots."""
+    lines = table(spark, sf_dir, "lineitem")
+    sizes = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("size"))
+    parts = lines.where(F.col("l_linenumber") % 3 != 2).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     whole = li.build_list(parts, ["l_orderkey"], "l_linenumber", "l_partkey")
-    sparse = li.build_sparse_list(parts.withColumn("slot", F.col("l_linenumber") - 1), ["l_orderkey"], "slot", "l_partkey", 3, "slots")
+    sparse = li.build_sparse_list(parts.join(sizes, "l_orderkey").withColumn("slot", F.col("l_linenumber") - 1), ["l_orderkey"], "slot", "l_partkey", F.max("size"), "slots")
     return whole.join(sparse, "l_orderkey")
 
 
@@ -355,6 +427,16 @@ def ordered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("event_id", "result")
 
 
+@query("""
+WITH e AS (SELECT event_id, 10 + event_id % 400 AS n FROM events), s AS (SELECT min(event_id) AS stop FROM e WHERE n > 405)
+SELECT event_id, ((sum(n) OVER (ORDER BY event_id) - n) // 5000)::BIGINT AS batch FROM e, s WHERE event_id < coalesce(stop, 9223372036854775807)""")
+def ordered_batch_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by bytes up to the first row that is too large on its own."""
+    e = table(spark, sf_dir, "events").select("event_id", (10 + F.col("event_id") % 400).alias("n"))
+    big = od.ordered_batch(e, "event_id", F.col("n"), F.col("n") > 405, F.col("n"), 5000)
+    return big.select("event_id", "batch")
+
+
 @query()
 def longest_first_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return od.longest_first(table(spark, sf_dir, "documents"), "lang", "doc_id", "n_chars", 8)
@@ -386,16 +468,6 @@ def byte_stream_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.cut_over(e, "user_id", ["ts", "event_id"], 10 + F.col("event_id") % 400, 5000).select("event_id", "written", "taken", "full")
 
 
-@query()
-def adaptive_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sends of each user, acknowledged in order after a round trip that follows the value."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), "event_id", F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("sent"), "value")
-    w = Window.partitionBy("stream").orderBy("sent", "event_id")
-    e = e.withColumns({"seq": F.row_number().over(w).cast("long"), "raw": F.col("sent") + 1000 + (F.col("value") * 100).cast("long")})
-    acks = e.select("stream", "seq", "sent", F.max("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("acked"), (100 + F.col("event_id") % 900).alias("size"))
-    return flow.adaptive_windows(acks, "stream", 65536, 4096, 1 << 22)
-
-
 @query("SELECT user_id, count(*)::BIGINT AS sends, sum(10 + event_id % 400)::BIGINT AS bytes, max(10 + event_id % 400)::BIGINT AS largest FROM events GROUP BY user_id")
 def stream_flow_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same figures from a stream over the table, run until it has caught up."""
@@ -439,15 +511,18 @@ def frame_table_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_segments, (8 * (CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 3 END))::BIGINT AS frame_bytes, o_orderkey AS key_again, true AS equal, true AS cut_refused FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_segments, (8 * (CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE 4 END))::BIGINT AS frame_bytes, -o_orderkey AS key_again, o_totalprice AS price_again, md5(printf('%016x', o_custkey)) AS second_md5, true AS cut_refused FROM orders""")
 def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    first = F.concat(en.little_endian(k, 8), en.little_endian(F.col("o_custkey"), 8))
-    segments = F.when(k % 2 == 0, F.array(en.little_endian(k, 8), en.little_endian(F.col("o_custkey"), 8))).otherwise(F.array(first))
-    seen = lambda s, f, b: F.struct(
-        F.size(b).alias("n_segments"), F.octet_length(f).cast("long").alias("frame_bytes"), en.read_little_endian(F.get(b, F.lit(0)), 1, 7).alias("key_again"),
-        (b == s).alias("equal"), fr.parse_frame(F.substr(f, F.lit(1), F.octet_length(f) - 1)).isNull().alias("cut_refused"))
-    whole = en.let(segments, lambda s: en.let(fr.encode_frame(s), lambda f: en.let(fr.parse_frame(f), lambda b: seen(s, f, b))))
+    """Keys with their sign changed and prices, as words of one or two segments."""
+    k, price = F.col("o_orderkey"), en.little_endian(en.double_bits(F.col("o_totalprice")), 8)
+    key, second = F.concat(en.little_endian(-k, 8), price), en.little_endian(F.col("o_custkey"), 8)
+    segments = F.when(k % 2 == 0, F.array(key, second)).otherwise(F.array(F.concat(key, second)))
+    last = lambda b: F.element_at(b, F.lit(-1))
+    seen = lambda f, b: F.struct(
+        F.size(b).alias("n_segments"), F.octet_length(f).cast("long").alias("frame_bytes"), en.read_little_endian(F.get(b, F.lit(0)), 1, 8).alias("key_again"),
+        en.bits_double(en.read_little_endian(F.get(b, F.lit(0)), 9, 8)).alias("price_again"), F.md5(F.lower(F.lpad(F.hex(en.read_little_endian(last(b), F.octet_length(last(b)) - 7, 8)), 16, "0"))).alias("second_md5"),
+        fr.parse_frame(F.substr(f, F.lit(1), F.octet_length(f) - 1)).isNull().alias("cut_refused"))
+    whole = en.let(fr.encode_frame(segments), lambda f: en.let(fr.parse_frame(f), lambda b: seen(f, b)))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(whole)))
 
 
@@ -460,43 +535,72 @@ def packed_word_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", fr.packed_word_size(F.hex(word)).alias("packed_bytes"), F.octet_length(fr.pack(word)).alias("measured"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem")
+_LINE_WORDS = ["-l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(l_quantity AS BIGINT)"]
+_TAGGED = " + ".join(f"CASE WHEN {w} = 0 THEN {zero} ELSE 1 + {' + '.join(f'CASE WHEN ({w} >> {8 * k}) & 255 <> 0 THEN 1 ELSE 0 END' for k in range(8))} END" for w, zero in zip(_LINE_WORDS[1:], ("2", "2", "CASE WHEN l_partkey = 0 THEN 0 ELSE 2 END", "2")))
+
+
+def _line_words() -> list:
+    return [en.little_endian(c, 8) for c in (-F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long"))]
+
+
+def _read_line(raw) -> list:
+    at = lambda k: en.read_little_endian(raw, 8 * k + 1, 8)
+    return [at(0).alias("negated"), at(1).cast("int").alias("l_linenumber"), at(2).alias("l_partkey"), at(3).alias("l_suppkey"), at(4).alias("quantity")]
+
+
+@query(f"""
+SELECT -l_orderkey AS negated, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity, ({_TAGGED} + 2)::INTEGER AS bytes_without_key FROM lineitem""")
 def packed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as words, packed and unpacked, and read from the words again."""
-    cols = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long")]
-    raw = F.concat(*(en.little_endian(c, 8) for c in cols), F.lit(bytes(24)))
-    l = table(spark, sf_dir, "lineitem").select(fr.unpack(fr.pack(raw)).alias("w"))
-    at = lambda k: en.read_little_endian(F.col("w"), 8 * k + 1, 7)
-    return l.select(at(0).alias("l_orderkey"), at(1).cast("int").alias("l_linenumber"), at(2).alias("l_partkey"), at(3).alias("l_suppkey"), at(4).alias("quantity"))
+    """Lines as words with a negative key, packed and unpacked, and read from the words again; and
+    the packed size of all words but the key, with three words of zeros at the end."""
+    words = _line_words()
+    l = table(spark, sf_dir, "lineitem").select(fr.unpack(fr.pack(F.concat(*words))).alias("w"), F.octet_length(fr.pack(F.concat(*words[1:], F.lit(bytes(24))))).alias("bytes_without_key"))
+    return l.select(*_read_line(F.col("w")), "bytes_without_key")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem")
+@query("SELECT -l_orderkey AS negated, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity, 1::BIGINT AS copies FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem)")
 def framed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written as files of frames by the data source, packed, and read again."""
+    """Distinct lines written as files of packed frames by the data source, over what an earlier
+    write left there, read again and counted."""
     import uuid
 
     from .sources.frames import FramedSource
 
     spark.dataSource.register(FramedSource)
     at = f"{shared_dir(spark)}/loomwork/frames-{uuid.uuid4().hex}"
-    cols = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long")]
-    body = F.array(F.concat(*(en.little_endian(c, 8) for c in cols)))
-    rows = table(spark, sf_dir, "lineitem").select(F.lit("").alias("file"), F.lit(0).cast("long").alias("seq"), body.alias("segments"))
-    rows.write.format("framed").option("framing", "packed").mode("append").save(at)
-    l = spark.read.format("framed").option("framing", "packed").load(at)
-    at_ = lambda k: en.read_little_endian(F.get("segments", F.lit(0)), 8 * k + 1, 7)
-    return l.select(at_(0).alias("l_orderkey"), at_(1).cast("int").alias("l_linenumber"), at_(2).alias("l_partkey"), at_(3).alias("l_suppkey"), at_(4).alias("quantity"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("l_quantity")).distinct()
+    rows = lines.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("seq"), F.array(F.concat(*_line_words())).alias("segments"))
+    for mode in ("append", "overwrite"):
+        rows.write.format("framed").option("framing", "packed").mode(mode).save(at)
+    l = spark.read.format("framed").option("framing", "packed").load(at).select(*_read_line(F.get("segments", F.lit(0))))
+    return l.groupBy(*l.columns).agg(F.count("*").alias("copies"))
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+@query("""
+SELECT c_custkey, '(custkey = ' || c_custkey || ', name = "' || c_name || '", tags = [' || c_nationkey || ', 7], home = (segment = "' || c_mktsegment || '\\n(x = 1)", rate = 0.5))' AS literal,
+  '{"custkey":"' || c_custkey || '","name":"' || c_name || '","tags":[' || c_nationkey || ',7],"home":{"segment":"' || c_mktsegment || '\\n(x = 1)","rate":0.5}}' AS json, NULL::BIGINT AS twice, NULL::BIGINT AS unknown, c_custkey AS hexed FROM customer""".replace("\\\\", "\\"))
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as text literals, and read from them again."""
-    c = table(spark, sf_dir, "customer")
-    literal = F.concat(F.lit("(custkey = "), F.col("c_custkey").cast("string"), F.lit(", name = "), en.quote(F.col("c_name")), F.lit(", nation = "), F.col("c_nationkey").cast("string"), F.lit(", segment = "), en.quote(F.col("c_mktsegment")), F.lit(")"))
-    text = c.select(literal.alias("t"))
-    pick = lambda name, form: F.regexp_extract("t", rf"[(,] ?{name} = ({form})", 1)
-    quoted = r'"(?:[^"\\]|\\.)*"'
-    return text.select(ar.parse_signed(pick("custkey", "-?[0-9]+")).alias("c_custkey"), en.unquote(pick("name", quoted)).alias("c_name"), ar.parse_signed(pick("nation", "-?[0-9]+")).cast("int").alias("c_nationkey"), en.unquote(pick("segment", quoted)).alias("c_mktsegment"))
+    """Nested records as text literals, read from them again and written as JSON; literals that name a
+    field twice, or one that is not there, are refused."""
+    home = F.struct(F.concat("c_mktsegment", F.lit("\n(x = 1)")).alias("segment"), F.lit(0.5).alias("rate"))
+    r = F.struct(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.array("c_nationkey", F.lit(7)).alias("tags"), home.alias("home"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", r.alias("r"))
+    schema = c.schema["r"].dataType
+    key = T.StructType([T.StructField("custkey", T.LongType())])
+    other = lambda form: js.from_literal(F.format_string(form, "c_custkey"), key).custkey
+    c = c.select("c_custkey", js.literal(F.col("r"), schema).alias("literal"))
+    return c.select("c_custkey", "literal", js.encode(js.from_literal(F.col("literal"), schema), schema).alias("json"), other("(custkey = %d, custkey = 2)").alias("twice"), other("(custkey = %d, other = 2)").alias("unknown"), other("( custkey = 0x%x )").alias("hexed"))
+
+
+@query("""
+SELECT o_orderkey, '{"key":"' || -o_orderkey || '","cust":"' || o_custkey || '"}' AS json, -o_orderkey AS key, o_custkey AS cust FROM orders""")
+def convert_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 64-bit fields to JSON, to frames again, and to a text literal that is read."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("cust", T.LongType())])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", fr.frame_of(F.struct((-F.col("o_orderkey")).alias("key"), F.col("o_custkey").alias("cust")), schema).alias("f"))
+    o = o.select("o_orderkey", js.encode(fr.record_of(F.col("f"), schema), schema).alias("json"))
+    o = o.withColumn("f", fr.frame_of(js.decode(F.col("json"), schema), schema))
+    return o.select("o_orderkey", "json", js.from_literal(js.literal(fr.record_of(F.col("f"), schema), schema), schema).alias("r")).select("o_orderkey", "json", "r.*")
 
 
 @query("""
@@ -506,6 +610,16 @@ def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.distinct_records(table(spark, sf_dir, "documents"), ["text", "lang"])
 
 
+@query("""
+SELECT event_id, event_id % 3 = 0 AS canonical FROM events""")
+def canonical_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in their canonical text, with a default written out, and with fields in another order."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("type", T.StringType()), T.StructField("n", T.IntegerType())])
+    forms = ['{"id":"%1$d","type":"%2$s"}', '{"id":"%1$d","type":"%2$s","n":0}', '{"type":"%2$s","id":"%1$d"}']
+    text = F.get(F.array(*(F.format_string(f, F.col("event_id") + 1, "event_type") for f in forms)), (F.col("event_id") % 3).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", ca.is_canonical(text, schema).alias("canonical"))
+
+
 @query("SELECT c_custkey, (4 + (strlen(c_name) + 8) // 8 + (strlen(c_mktsegment) + 8) // 8 + 1)::BIGINT AS words FROM customer")
 def traversal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long key, integer nation, double balance: 3 data words (160 bits), 2 pointers, 2 texts."""
@@ -519,6 +633,20 @@ def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.fields(c.withColumn("home", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"))))
 
 
+@query("""
+SELECT 'event_type' AS "enum", (row_number() OVER (ORDER BY event_type) - 1)::INTEGER AS ordinal, event_type AS name FROM (SELECT DISTINCT event_type FROM events)""")
+def schema_enumerants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.enumerants(table(spark, sf_dir, "events"), "event_type", "event_type")
+
+
+@query("""
+WITH n AS (SELECT * FROM (VALUES ('customer', NULL, 6, 3, 3), ('customer.home', 'customer', 2, 1, 1)) t(path, parent, fields, data, pointers)), h AS (SELECT *, md5('f00dfeedf00dfeed' || path) AS h FROM n)
+SELECT path, parent, fields, data, pointers, CASE WHEN h[1] < '8' THEN ['8','9','a','b','c','d','e','f'][h[1]::INTEGER + 1] ELSE h[1] END || h[2:16] AS type_id FROM h""")
+def schema_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return catalog.nodes(c.withColumn("home", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"))), "customer", "f00dfeedf00dfeed")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

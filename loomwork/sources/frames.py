@@ -7,6 +7,7 @@ Options: ``path``; ``framing`` is ``standard``, ``packed`` (the whole file is pa
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.frames import MAX_SEGMENTS, MAX_WORDS, pack_words, unpack_words
+from ..functions.frames import MAX_SEGMENTS, MAX_WORDS, pack_words, unpack_some
 
 SCHEMA = "file string, seq long, segments array<binary>"
 
@@ -30,25 +31,58 @@ class Written(WriterCommitMessage):
     path: str
 
 
-def split_frames(raw: bytes):
-    """The frames of a file, each a list of segments; an error names the byte where one breaks off."""
-    at = 0
-    while at < len(raw):
-        if len(raw) - at < 8:
-            raise ValueError(f"frame at byte {at} ends within its table")
-        n = struct.unpack_from("<I", raw, at)[0] + 1
-        body = at + 8 * (n // 2 + 1)
-        if n > MAX_SEGMENTS or body > len(raw):
-            raise ValueError(f"frame at byte {at} names {n} segments")
-        sizes = struct.unpack_from(f"<{n}I", raw, at + 4)
-        if sum(sizes) > MAX_WORDS or body + 8 * sum(sizes) > len(raw):
-            raise ValueError(f"frame at byte {at} names {sum(sizes)} words")
-        segments = []
-        for size in sizes:
-            segments.append(raw[body : body + 8 * size])
-            body += 8 * size
-        yield segments
-        at = body
+CHUNK = 1 << 20  # packed bytes read at a time
+
+
+def _unpacked(stream):
+    """A function that reads so many bytes of what a packed stream stands for."""
+    packed, plain, ended = b"", bytearray(), False
+
+    def read(n: int) -> bytes:
+        nonlocal packed, plain, ended
+        while len(plain) < n and not ended:
+            more = stream.read(CHUNK)
+            ended = not more
+            out, used = unpack_some(packed + more)
+            packed = (packed + more)[used:]
+            plain += out
+            if ended and packed:
+                raise ValueError("it ends within a packed word")
+        out = bytes(plain[:n])
+        del plain[:n]
+        return out
+
+    return read
+
+
+def frames_of(stream, framing: str, name: str):
+    """The messages of an open file, each a list of segments, one in memory at a time; an error names
+    the byte where one breaks off."""
+    if framing == "flat":
+        raw = stream.read()
+        if not raw or len(raw) % 8:
+            raise ValueError(f"{name} is not a whole number of words")
+        yield [raw]
+        return
+    read, at = stream.read if framing == "standard" else _unpacked(stream), 0
+    while head := read(4):
+        def take(n: int) -> bytes:
+            raw = read(n)
+            if len(raw) < n:
+                raise ValueError(f"{name}: the frame at byte {at} breaks off")  # noqa: B023
+            return raw
+
+        if len(head) < 4:
+            raise ValueError(f"{name}: the frame at byte {at} breaks off")
+        n = struct.unpack("<I", head)[0] + 1
+        if n > MAX_SEGMENTS:
+            raise ValueError(f"{name}: the frame at byte {at} names {n} segments")
+        table = take(8 * (n // 2 + 1) - 4)
+        sizes = struct.unpack_from(f"<{n}I", table)
+        if sum(sizes) > MAX_WORDS:
+            raise ValueError(f"{name}: the frame at byte {at} names {sum(sizes)} words")
+        yield [take(8 * s) for s in sizes]
+        at += 4 + len(table) + 8 * sum(sizes)
 
 
 def join_frame(segments: list[bytes]) -> bytes:
@@ -64,26 +98,13 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def frames_of_file(raw: bytes, framing: str, name: str):
-    """The messages of one file, each a list of segments."""
-    if framing == "flat":
-        if not raw or len(raw) % 8:
-            raise ValueError(f"{name} is not a whole number of words")
-        return iter([[raw]])
-    if framing == "packed":
-        raw = unpack_words(raw)
-        if raw is None:
-            raise ValueError(f"{name} ends within a packed word")
-    return split_frames(raw)
-
-
 def read_frames(spark: SparkSession, path: str, framing: str = "standard") -> DataFrame:
     """The rows of the source by way of Spark's own file reader, for stores that only it opens."""
 
     def split(batches):
         for batch in batches:
             for name, raw in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                rows = [{"file": name, "seq": k, "segments": s} for k, s in enumerate(frames_of_file(raw, framing, name))]
+                rows = [{"file": name, "seq": k, "segments": s} for k, s in enumerate(frames_of(io.BytesIO(raw), framing, name))]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("seq", pa.int64()), ("segments", pa.list_(pa.binary()))]))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, SCHEMA)
@@ -100,36 +121,54 @@ class FramedReader(DataSourceReader):
         info = where.get_file_info(path)
         if info.type == fs.FileType.Directory:
             found = where.get_file_info(fs.FileSelector(path, recursive=True))
-            return [OneFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
+            return [OneFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and not any(p.startswith(("_", ".")) for p in x.path[len(path) :].split("/"))]
         return [OneFile(path)]
 
     def read(self, partition):
         where, _ = _filesystem(self.path)
         with where.open_input_stream(partition.path) as f:
-            raw = f.read()
-        for seq, segments in enumerate(frames_of_file(raw, self.framing, partition.path)):
-            yield partition.path, seq, segments
+            for seq, segments in enumerate(frames_of(f, self.framing, partition.path)):
+                yield partition.path, seq, segments
 
 
 class FramedWriter(DataSourceWriter):
-    def __init__(self, options):
-        self.path, self.framing = options["path"], options.get("framing", "standard")
+    """Tasks write below ``_temporary``; only what the commit names moves to its place, so attempts
+    that failed or came twice leave nothing that a reader takes."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.framing, self.overwrite = options["path"], options.get("framing", "standard"), overwrite
+        self.run = uuid.uuid4().hex
 
     def write(self, iterator):
         where, path = _filesystem(self.path)
-        where.create_dir(path, recursive=True)
-        name = f"{path}/part-{uuid.uuid4().hex}.frames"
+        name = f"{path}/_temporary/{self.run}/part-{uuid.uuid4().hex}.frames"
+        where.create_dir(name.rpartition("/")[0], recursive=True)
         with where.open_output_stream(name) as f:
             for row in iterator:
                 frame = join_frame([bytes(s) for s in row["segments"]])
                 f.write(pack_words(frame) if self.framing == "packed" else frame)
         return Written(name)
 
-    def abort(self, messages):
-        where, _ = _filesystem(self.path)
+    def commit(self, messages):
+        from pyarrow import fs
+
+        where, path = _filesystem(self.path)
+        where.create_dir(path, recursive=True)
+        if self.overwrite:
+            for old in where.get_file_info(fs.FileSelector(path)):
+                if old.type == fs.FileType.File:
+                    where.delete_file(old.path)
         for m in messages:
             if m is not None:
-                where.delete_file(m.path)
+                where.move(m.path, f"{path}/{m.path.rpartition('/')[2]}")
+        self.abort(messages)
+
+    def abort(self, messages):
+        from pyarrow import fs
+
+        where, path = _filesystem(self.path)
+        if where.get_file_info(f"{path}/_temporary/{self.run}").type == fs.FileType.Directory:
+            where.delete_dir(f"{path}/_temporary/{self.run}")
 
 
 class FramedSource(DataSource):
@@ -144,4 +183,4 @@ class FramedSource(DataSource):
         return FramedReader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceWriter:
-        return FramedWriter(self.options)
+        return FramedWriter(self.options, overwrite)

@@ -28,57 +28,32 @@ def test_batch_stops_at_the_first_failure(spark):
     assert od.ordered_batch(df, "id", F.col("id"), F.lit(None).cast("boolean")).count() == 10
 
 
-def windows(sends, initial, least, most):
-    """Window after each acknowledgement, worked out from the whole history each time."""
-    out, window, starting, calm, started, at_round = [], initial, True, 0, None, initial
-    state = {}
-    events = sorted([(s[1], 0, s[0]) for s in sends] + [(s[2], 1, s[0]) for s in sends])
-    by = {s[0]: s for s in sends}
-    acked, rtts = [], []
-    for time, kind, seq in events:
-        flying = sum(by[q][3] for q in state) - sum(by[q][3] for q in acked)
-        delivered = sum(by[q][3] for q in acked)
-        if kind == 0:
-            largest = max(by[q][3] for q in [*state, seq])
-            state[seq] = (delivered, by[acked[-1]][2] if acked else None, window, flying + by[seq][3] >= window + largest)
-            continue
-        rtts.append(time - by[seq][1])
-        first = (by[acked[0]][2], by[acked[0]][3]) if acked else None
-        acked.append(seq)
-        delivered += by[seq][3]
-        was, last, old, full = state[seq]
-        if first:
-            t0, d0 = (last, was) if last is not None else first
-            if time > t0:
-                up, down = (2, 1) if starting else (5, 4)
-                new = most if delivered - d0 > 2 * most else (delivered - d0) * min(rtts) * up // (time - t0) // down
-                new = min(new, old * up // down)
-                new = max(new, old * 7 // 8 if full else window)
-                window = max(least, min(most, new))
-                if starting and (started is None or by[seq][1] >= started):
-                    calm = 0 if window > at_round * 5 // 4 else calm + 1
-                    starting, started, at_round = calm < 3, time, window
-        out.append((seq, window, min(rtts), starting))
-    return out
-
-
-def test_adaptive_window(spark):
+def test_batches_of_bytes(spark):
+    rows = [(k, (k * 37) % 50) for k in range(90)] + [(90, 500), (91, 1)]
+    df = spark.createDataFrame(rows, "seq long, n long").repartition(5)
+    got = {r.seq: r.batch for r in od.ordered_batch(df, "seq", F.col("n"), F.lit(False), F.col("n"), 200).collect()}
+    before, want = 0, {}
+    for k, n in rows[:90]:
+        want[k], before = before // 200, before + n
+    assert got == want
+
+
+def test_longest_first_one_by_one(spark):
+    import heapq
     import random
 
-    rng, rows, want = random.Random(5), [], {}
-    for stream in range(4):
-        sent, last, sends = 0, 0, []
-        for seq in range(60):
-            sent += rng.randint(1, 400)
-            last = max(last + 1, sent + rng.randint(200, 3000))
-            sends.append((seq, sent, last, rng.randint(50, 900)))
-        rows += [(stream, *s) for s in sends]
-        want[stream] = windows(sends, 2000, 500, 50_000)
-    df = spark.createDataFrame(rows, "stream long, seq long, sent long, acked long, size long").repartition(3)
-    got = {}
-    for r in flow.adaptive_windows(df, "stream", 2000, 500, 50_000).collect():
-        got.setdefault(r.stream, []).append((r.seq, r.window, r.min_rtt, r.starting))
-    assert {k: sorted(v) for k, v in got.items()} == want
+    rng = random.Random(4)
+    rows = [(f"k{rng.randrange(3)}", i, rng.choice([0, 0, 1, 2, 3, 7, 7, 7, 20, 100, rng.randrange(200)])) for i in range(600)] + [("big", 1000, 10_000), *(("big", 2000 + i, 7) for i in range(900)), (None, 5000, 3), (None, 5001, None)]
+    df = spark.createDataFrame(rows, "k string, item long, n long").repartition(4)
+    for bins in (1, 5, 8):
+        want = {}
+        for key in {r[0] for r in rows}:
+            heap = [(0, b) for b in range(bins)]
+            for k, i, n in sorted((r for r in rows if r[0] == key), key=lambda r: (-(r[2] or 0), r[1])):
+                load, b = heapq.heappop(heap)
+                want[i] = b
+                heapq.heappush(heap, (load + (n or 0), b))
+        assert {r.item: r.bin for r in od.longest_first(df, "k", "item", "n", bins).collect()} == want
 
 
 def _by_window(events):
@@ -138,14 +113,3 @@ def test_deep_trees_are_whole(spark):
     assert {r.tree: r.value for r in wl.evaluate_trees(spark.createDataFrame(rows, NODES)).collect()} == want
     with pytest.raises(ValueError):
         wl.evaluate_trees(spark.createDataFrame([(4, 1, None, None, "add", None), (4, 2, 1, "left", None, 5)], NODES))
-
-
-def test_unfinished_components_raise(spark):
-    import pytest
-
-    from loomwork.llm._graph import components
-
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    assert {r.component for r in components(chain).collect()} == {0}
-    with pytest.raises(RuntimeError):
-        components(chain, rounds=1)

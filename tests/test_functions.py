@@ -35,11 +35,11 @@ def test_guarded_and_wrapping_integers(spark):
 
 
 def test_numbers_from_text(spark):
-    texts = ["0", "42", "-42", "0xff", "-0x10", "1_000", "18446744073709551615", "18446744073709551616", "9223372036854775807", "-9223372036854775808", "9223372036854775808", "1, other = 2", "", "1.5", None]
+    texts = ["+5", "0X10", "-+5", "0x", "00042", "0x00ff", "0", "42", "-42", "0xff", "-0x10", "1_000", "18446744073709551615", "18446744073709551616", "9223372036854775807", "-9223372036854775808", "9223372036854775808", "1, other = 2", "", "1.5", None]
     got = values(spark, [(t,) for t in texts], "t string", ar.parse_unsigned(F.col("t")).cast("string"), ar.parse_signed(F.col("t")))
-    want = [("0", 0), ("42", 42), (None, -42), ("255", 255), (None, -16), ("1000", 1000), ("18446744073709551615", None), (None, None), ("9223372036854775807", 2**63 - 1), (None, -(2**63)), ("9223372036854775808", None), *[(None, None)] * 4]
+    want = [("5", 5), (None, None), (None, None), (None, None), ("42", 42), ("255", 255), ("0", 0), ("42", 42), (None, -42), ("255", 255), (None, -16), ("1000", 1000), ("18446744073709551615", None), (None, None), ("9223372036854775807", 2**63 - 1), (None, -(2**63)), ("9223372036854775808", None), *[(None, None)] * 4]
     assert got == want
-    floats = [("1e3", 1000.0), ("INF", math.inf), ("-Infinity", -math.inf), (".5", 0.5), ("1.", 1.0), ("x", None), ("1e", None)]
+    floats = [("1_000.5", 1000.5), ("+inf", math.inf), ("1e3", 1000.0), ("INF", math.inf), ("-Infinity", -math.inf), (".5", 0.5), ("1.", 1.0), ("x", None), ("1e", None)]
     assert [r[0] for r in values(spark, [(t,) for t, _ in floats], "t string", ar.parse_float(F.col("t")))] == [v for _, v in floats]
     assert math.isnan(values(spark, [("NaN",)], "t string", ar.parse_float(F.col("t")))[0][0])
 
@@ -56,11 +56,33 @@ def test_quoting_hex_and_base64(spark):
     quoted = en.quote(F.col("t"))
     assert [r[0] for r in values(spark, [(t,) for t in texts], "t string", en.unquote(quoted))] == texts
     assert values(spark, [('a"b\n',)], "t string", quoted)[0][0] == '"a\\"b\\n"'
+    control = "a\x01b\x7f\x85ü"
+    assert values(spark, [(control,)], "t string", en.quote(F.col("t")), en.unquote(en.quote(F.col("t"))))[0] == ('"a\\001b\\177\\302\\205ü"', control)
+    raws = [b"", b"plain", bytes(range(256)), b"\\'\"\n"]
+    got = values(spark, [(r,) for r in raws], "b binary", en.quote_bytes(F.col("b")), en.unquote_bytes(en.quote_bytes(F.col("b"))))
+    assert [bytes(r[1]) for r in got] == raws and got[1][0] == '"plain"' and got[3][0] == '"\\\\\\\'\\"\\n"' and got[2][0].startswith('"\\000\\001')
+    escapes = ['"\\x41\\101"', '"\\9"', '"\\"', "plain", '"\\377"', None]
+    assert [r[0] for r in values(spark, [(t,) for t in escapes], "t string", en.unquote(F.col("t")))] == ["AA", None, None, None, None, None]
     bad = ["A==A", "QQ", "QR==", "QQ==\n", "QQ==", "", None]
     assert [r[0] for r in values(spark, [(t,) for t in bad], "t string", en.from_base64(F.col("t")))] == [None, None, None, None, b"A", b"", None]
     assert [r[0] for r in values(spark, [("abc",), ("0g",), ("DEad",)], "t string", en.from_hex(F.col("t")))] == [None, None, b"\xde\xad"]
 
 
+def test_little_endian_and_bits(spark):
+    ints = [0, 1, -1, 255, -129, (1 << 56) + 5, -(1 << 63), (1 << 63) - 1, -5]
+    x = F.col("x")
+    for width in range(1, 9):
+        got = values(spark, [(i,) for i in ints], "x long", en.read_little_endian(en.little_endian(x, width), 1, width), en.read_little_endian(en.little_endian(x, width), 1, width, signed=True))
+        size = 1 << (8 * width)
+        signed = lambda n: n - size if n >= size // 2 else n  # noqa: B023, E731
+        assert got == [(signed(i % size) if width == 8 else i % size, signed(i % size)) for i in ints]
+    doubles = [0.0, -0.0, 1.0, -2.5, 0.1, 1e308, 5e-324, -2.2250738585072014e-308, 2.225073858507201e-308, 123456.789, math.inf, -math.inf, math.pi]
+    got = values(spark, [(d,) for d in doubles], "x double", en.double_bits(x), en.bits_double(en.double_bits(x)))
+    assert [r[0] for r in got] == [struct.unpack("<q", struct.pack("<d", d))[0] for d in doubles]
+    assert [str(r[1]) for r in got] == [str(d) for d in doubles]
+    assert math.isnan(values(spark, [(math.nan,)], "x double", en.bits_double(en.double_bits(x)))[0][0])
+
+
 def test_frames(spark):
     for n in (1, 2, 3, 4):
         segments = [bytes(range(8)) * k for k in range(n)]
@@ -85,6 +107,34 @@ def test_packing(raw, packed):
     assert fr.pack_words(bytes(raw)) == bytes(packed) and fr.unpack_words(bytes(packed)) == bytes(raw)
 
 
+def plain_pack(raw):
+    """A word at a time."""
+    words, out, i = [raw[k : k + 8] for k in range(0, len(raw), 8)], bytearray(), 0
+    while i < len(words):
+        w = words[i]
+        out.append(sum(1 << k for k in range(8) if w[k]))
+        out += bytes(b for b in w if b)
+        i += 1
+        if w.count(0) in (0, 8):
+            run, most = i, w.count(0)
+            while run < min(len(words), i + 255) and (words[run].count(0) == 8 if most else words[run].count(0) <= 1):
+                run += 1
+            out.append(run - i)
+            out += b"" if most else b"".join(words[i:run])
+            i = run
+    return bytes(out)
+
+
+def test_packing_many_at_once():
+    import random
+
+    rng = random.Random(2)
+    kinds = [bytes(8), bytes(range(1, 9)), bytes([0, *range(1, 8)]), bytes([5, 0, 0, 0, 0, 0, 0, 9])]
+    raws = [b"".join(rng.choice(kinds) * rng.choice([1, 1, 2, 300]) for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    assert fr.pack_many(raws) == [plain_pack(r) for r in raws] and fr.pack_many([]) == [] and fr.pack_many([b""]) == [b""]
+    assert [fr.unpack_words(p) for p in fr.pack_many(raws)] == raws
+
+
 def test_packing_round_trips(spark):
     import random
 
@@ -108,6 +158,16 @@ def test_source_reads_what_it_writes(spark, tmp_path):
         assert sorted([bytes(s) for s in r.segments] for r in back.collect()) == sorted(r[2] for r in rows)
         again = read_frames(spark, at, framing)
         assert sorted([bytes(s) for s in r.segments] for r in again.collect()) == sorted(r[2] for r in rows)
+    df.limit(5).write.format("framed").mode("overwrite").save(f"{tmp_path}/standard")
+    assert spark.read.format("framed").load(f"{tmp_path}/standard").count() == 5
+    stale = tmp_path / "standard" / "_temporary" / "old"
+    stale.mkdir(parents=True)
+    (stale / "part-0.frames").write_bytes(b"half a frame")
+    assert spark.read.format("framed").load(f"{tmp_path}/standard").count() == 5
+    bad = spark.createDataFrame([("", 0, [b"12345"])], df.schema)
+    with pytest.raises(PySparkException):
+        df.unionByName(bad).write.format("framed").mode("append").save(f"{tmp_path}/standard")
+    assert spark.read.format("framed").load(f"{tmp_path}/standard").count() == 5
     (tmp_path / "flat").write_bytes(b"12345678")
     assert [bytes(s) for s in spark.read.format("framed").option("framing", "flat").load(f"{tmp_path}/flat").first().segments] == [b"12345678"]
     (tmp_path / "short").write_bytes(b"\0\0\0\0\2\0\0\0half")
@@ -123,6 +183,13 @@ def test_lists(spark):
             df.select(li.get_checked(F.col("v"), k)).collect()
     assert df.select(li.as_structs(F.col("v"), "value", label="")).first()[0][1].asDict() == {"value": 2, "label": ""}
     assert li.upgrades("int", "struct<value:int>") and not li.upgrades("boolean", "struct<value:boolean>") and not li.upgrades("int", "string")
+    assert df.select(li.set_at(F.col("v"), 1, F.lit(9))).first()[0] == [1, 9, 3]
+    with pytest.raises(PySparkException):
+        df.select(li.set_at(F.col("v"), 3, F.lit(9))).collect()
+    for slot in (-1, 2):
+        with pytest.raises(PySparkException):
+            li.build_sparse_list(spark.createDataFrame([(1, slot, "a")], "k int, slot int, v string"), ["k"], "slot", "v", 2).collect()
+    assert li.build_sparse_list(spark.createDataFrame([(1, 1, "a")], "k int, slot int, v string"), ["k"], "slot", "v", 3).first()["items"] == [None, "a", None]
     twice = spark.createDataFrame([(1, 0, "a"), (1, 0, "b")], "k int, slot int, v string")
     with pytest.raises(PySparkException):
         li.build_sparse_list(twice, ["k"], "slot", "v", 2).collect()
@@ -143,7 +210,18 @@ def test_json(spark):
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.BooleanType())])
     texts = ['{"a":"7","b":true}', '{"a":"1, b = 2"}', '{"a":1.5,"c":0}', '{"a":9007199254740993}', '{"a":1,"a":2}', "nonsense"]
     got = values(spark, [(t,) for t in texts], "t string", js.decode(F.col("t"), schema), js.unknown_fields(F.col("t"), schema), js.has_duplicate_keys(F.col("t")))
-    assert [r[0].a for r in got][:4] == [7, None, None, 9007199254740993] and got[0][0].b is True
+    assert [r[0].a for r in got[:4]] == [7, None, None, 9007199254740993] and got[0][0].b is True and got[4][0] is None and got[5][0] is None
+    nested = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("raw", T.BinaryType()), T.StructField("in", T.StructType([T.StructField("l", T.ArrayType(T.LongType()))])), T.StructField("f", T.FloatType())])
+    rows = [(1e21, b"\x00\xff", (([1, None],)), 0.1), (-0.0, b"", None, None), (None, None, (None,), float("inf"))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], T.StructType([T.StructField("i", T.IntegerType()), *nested.fields])).orderBy("i")
+    record = F.struct(*nested.fieldNames())
+    text = [r[0] for r in df.select(js.encode(record, nested)).collect()]
+    assert text == ['{"d":1e21,"raw":[0,255],"in":{"l":["1",null]},"f":0.1}', '{"d":-0,"raw":[]}', '{"in":{},"f":"Infinity"}']
+    for form in (js.decode(js.encode(record, nested), nested), js.from_literal(js.literal(record, nested), nested)):
+        back = [r[0] for r in df.select(form).collect()]
+        assert back[0].d == 1e21 and bytes(back[0].raw) == b"\x00\xff" and abs(back[0].f - 0.1) < 1e-6 and back[1].raw == b"" and back[2].f == math.inf and back[1]["in"] is None
+    upper = {"a": F.upper, T.BooleanType: lambda x: F.lit("1")}
+    assert spark.range(1).select(js.encode(F.struct(F.lit("x").alias("a"), F.lit("y").alias("c"), F.lit(True).alias("b")), T.StructType([T.StructField("a", T.StringType()), T.StructField("c", T.StringType()), T.StructField("b", T.BooleanType())]), upper)).first()[0] == '{"a":X,"c":"y","b":1}'
     assert got[2][1] == ["c"] and [r[2] for r in got][:5] == [False, False, False, False, True]
 
 

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomwork import queries
@@ -26,7 +27,7 @@ def plain(value):
         return bytes(value).hex()
     if isinstance(value, list):
         return str([plain(x) for x in value])
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return ""
     if isinstance(value, float) and value == int(value if math.isfinite(value) else 0):
         return str(int(value))
