@@ -106,20 +106,22 @@ def kth_largest(table: DataFrame, key: str, k: int, bins: int = 4096) -> int | N
 
 def resample(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
-    max_labels: int = 20_000, keep: list[str] | None = None, seed: int = 17, sharpness: float = 20.0, cost: float = 5.0,
+    max_labels: int = 20_000, keep: list[str] | None = None, seed: int = 17, cost: float = 5.0,
 ) -> DataFrame:
     """``docs`` with ``log_weight``, ``score`` and ``kept``: importance resampling by Gumbel top-k.
 
     The target model counts hashed n-grams of the texts that ``labels`` calls good (label 1; about
     20,000 labelled ids at most, ``max_labels``, the smallest by a hash), the raw model those of
     all texts. ``log_weight`` is a text's log ratio of the two models, ``score`` the ratio for one
-    n-gram, drawn towards 0 in short texts. The sample is drawn without replacement: Gumbel noise,
-    fixed by seed, id and text, is added to ``sharpness * score``, and the ``k`` largest are kept.
-    ``k`` is how many of all texts score at least as high as the cut that best parts good from bad
-    labelled texts, where losing a good one counts ``cost`` times. Rows that tie with the last
-    kept one are kept. Null or empty texts have no n-grams, weight and score 0. Without labels of
-    both kinds everything is kept. Repeated rows share their fate; no rows give no rows.
-
+    n-gram, drawn towards 0 in short texts. The sample is drawn without replacement in proportion
+    to the ratio: Gumbel noise, fixed by seed, id and text, is added to ``log_weight``, and the
+    ``k`` largest are kept. ``k`` is how many of all texts weigh at least as much as the cut that
+    best parts good from bad labelled texts, where losing a good one counts ``cost`` times (of
+    rows that share an id the least weight counts). Rows that tie with the last kept one are kept.
+    Null or empty texts have no n-grams, weight and score 0. Without labels of both kinds
+    everything is kept. Repeated rows share their fate; no rows give no rows.
+
+    Texts are read twice, for the counts and for the weights; what comes out is written once.
     Columns: ``keep`` (None: all of ``docs``), then the three.
     """
     new = ("log_weight", "score", "kept")
@@ -136,21 +138,16 @@ def resample(
     model[1, counts.bucket] += counts.target
     ratio = np.log(model[1] / model[1].sum()) - np.log(model[0] / model[0].sum())
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-
-    def scored(rows: DataFrame) -> DataFrame:
-        fields = [*rows.schema.fields[:-1], T.StructField("lw_sum", T.DoubleType()), T.StructField("lw_grams", T.LongType())]
-        return rows.mapInArrow(lambda batches: _score(batches, shared.value), T.StructType(fields))
-
-    unit = (F.xxhash64("lw_key", "lw_hash", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
-    per_gram = F.col("lw_sum") / (F.col("lw_grams") + 5.0)
-    noisy = F.floor((sharpness * per_gram - F.log(-F.log(unit))) * float(1 << 20)).cast("long")
-    id_and_hash = [F.col(f"`{key}`").alias("lw_key"), F.xxhash64(own).alias("lw_hash")]
-    table = written(scored(docs.select(*id_and_hash, own)).select("lw_key", per_gram.alias("score"), noisy.alias("q")), "quality-scores")
-    known = table.join(some, "lw_key").select("score", "lw_label").toPandas()
-    cut = cut_for(known["score"].to_numpy(float), known["lw_label"].to_numpy() == 1, cost) if known["lw_label"].nunique() == 2 else -np.inf
-    k = table.where(F.col("score") >= F.lit(float(cut))).count()
-    last = kth_largest(table, "q", k)
     cols = [F.col(f"`{c}`") for c in keep]
-    final = scored(docs.select(*cols, *id_and_hash, own))
-    kept = noisy >= F.lit(last) if last is not None else F.lit(False)
-    return final.select(*cols, F.col("lw_sum").alias("log_weight"), per_gram.alias("score"), kept.alias("kept"))
+    rows = docs.select(*cols, F.col(f"`{key}`").alias("lw_key"), F.xxhash64(own).alias("lw_hash"), own)
+    fields = [*rows.schema.fields[:-1], T.StructField("lw_sum", T.DoubleType()), T.StructField("lw_grams", T.LongType())]
+    scored = rows.mapInArrow(lambda batches: _score(batches, shared.value), T.StructType(fields))
+    unit = (F.xxhash64("lw_key", "lw_hash", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
+    noisy = F.floor((F.col("lw_sum") - F.log(-F.log(unit))) * float(1 << 20)).cast("long")
+    table = written(scored.withColumn("lw_q", noisy), "quality-weights")
+    known = table.join(some, "lw_key").groupBy("lw_key").agg(F.min("lw_sum").alias("w"), F.first("lw_label").alias("y")).toPandas()  # max_labels rows
+    cut = cut_for(known["w"].to_numpy(float), known["y"].to_numpy() == 1, cost) if known["y"].nunique() == 2 else -np.inf
+    k = table.where(F.col("lw_sum") >= F.lit(float(cut))).count()
+    last = kth_largest(table, "lw_q", k)
+    kept = F.col("lw_q") >= F.lit(last) if last is not None else F.lit(False)
+    return table.select(*cols, F.col("lw_sum").alias("log_weight"), (F.col("lw_sum") / (F.col("lw_grams") + 5.0)).alias("score"), kept.alias("kept"))
