@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontamination, minhash, quality, suffixes
@@ -12,10 +12,20 @@ from loomwork.llm._shared import written
 from loomwork.llm.packing import pack
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the other columns as one, out of the way of what operators add."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("lw_rest"))
+
+
+def _together(docs: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    return docs.select(*(new.get(c, F.col("text") if c == "text" else F.col("lw_rest").getField(c)).alias(c) for c in columns))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier draws."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.resample(docs, labels).where("kept").select(*docs.columns)
+    return _together(quality.resample(_apart(docs), labels).where("kept"), docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +35,17 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of over 50 words that stand elsewhere too; ``n_chars`` follows."""
-    cut = suffixes.remove_repeats(docs, **suffixes.PASSAGES)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    cut = suffixes.remove_repeats(_apart(docs), **suffixes.PASSAGES)
+    if "n_chars" not in docs.columns:
+        return _together(cut, docs.columns)
+    size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return _together(cut, docs.columns, n_chars=F.when(F.col("n_removed") > 0, size).otherwise(F.col("lw_rest.n_chars")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.find_leaks(docs, items).where(F.size("leaks") == 0).select(*docs.columns)
+    return _together(decontamination.find_leaks(_apart(docs), items).where(F.size("leaks") == 0), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
