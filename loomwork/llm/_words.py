@@ -28,6 +28,25 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U) * _STEP + U(seed) * U(0xD1342543DE82EF95))
 
 
+class Found:
+    """Looks 64-bit hashes up among few."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.keys, self.values = hashes[order], values[order]
+        bits = min(24, max(12, len(hashes).bit_length() + 4))
+        self.shift = U(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(hashes >> self.shift).astype(np.intp)] = True
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are there, and their values."""
+        at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.intp)])
+        k = np.minimum(np.searchsorted(self.keys, h[at]), max(0, len(self.keys) - 1))
+        ok = self.keys[k] == h[at]
+        return at[ok], self.values[k[ok]]
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = stream(1, 256)[_LOWER]

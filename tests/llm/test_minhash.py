@@ -1,6 +1,9 @@
 """MinHash near-dedup against all pairs."""
 
+import math
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -15,12 +18,15 @@ from .common import no_docs, odd_docs
 SCHEMA = "doc_id long, text string"
 
 
-def brute(rows, threshold=0.8, share=0.25):
-    col = pa.array([t or "" for _, t in rows])
-    s, _, _ = minhash.Weights(np.ones(1 << 16), 5).sets(col)
-    df = np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
-    s, v, first = minhash.Weights(minhash.damped_idf(df, len(rows), share), 5).sets(col)
-    sets = [(s[first[k] : first[k + 1]], v[first[k] : first[k + 1]]) for k in range(len(rows))]
+def brute(rows, threshold=0.8, damping=0.25, frequent=1 / 256):
+    """Groups by the similarities of all pairs, in plain Python."""
+    held = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x00-\x20]+", (t or "").encode().lower())
+        held.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(s for h in held for s in h)
+    idf = lambda s: 1 + damping * math.log(max(df[s] / len(rows), frequent)) / math.log(frequent)
+    sets = [{s: (1 + math.log(n)) * idf(s) for s, n in h.items()} for h in held]
     lead = {i: i for i, _ in rows}
 
     def root(x):
@@ -29,9 +35,11 @@ def brute(rows, threshold=0.8, share=0.25):
         return x
 
     for a, b in combinations(range(len(rows)), 2):
-        if len(sets[a][0]) and len(sets[b][0]) and minhash.weighted_jaccard(*sets[a], *sets[b]) >= threshold:
-            x, y = root(rows[a][0]), root(rows[b][0])
-            lead[max(x, y)] = min(x, y)
+        x, y = sets[a], sets[b]
+        low = sum(min(x[s], y[s]) for s in x.keys() & y.keys())
+        if low and low / (sum(x.values()) + sum(y.values()) - low) >= threshold:
+            p, q = root(rows[a][0]), root(rows[b][0])
+            lead[max(p, q)] = min(p, q)
     return {i: root(i) for i, _ in rows}
 
 
@@ -58,19 +66,33 @@ def corpus(seed=4):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_against_all_pairs(spark, block):
+@pytest.mark.parametrize("sizes", [{}, {"block": 8}, {"block_bytes": 4000}])
+def test_against_all_pairs(spark, sizes):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, bands=24, block=block).collect()}
-    assert got == brute(rows)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, **sizes).collect()}
+    assert got == brute(rows) and len(set(got.values())) < len(rows) - 60
+
+
+def test_frequent_shingles_are_counted_exactly(spark, monkeypatch):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(12)]
+    texts = [" ".join(f"u{rng.random()}" for _ in range(6)) + " " + " ".join(common[: rng.choice([3, 5, 8, 12])]) for _ in range(400)]
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 50)
+    held = Counter(x for t in texts for x in minhash.distinct(pa.array([t]), 5)[0].tolist())
+    for parts in (1, 7):
+        s, n = minhash.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "t string").repartition(parts), 400, 40_000, 5, 0.05)
+        assert dict(zip(s.tolist(), n.tolist())) == {x: c for x, c in held.items() if c >= 20} and len(s) == 8
 
 
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = random.Random(1)
     a = [str(rng.random()) for _ in range(300)]
     b = a[:250] + [str(rng.random()) for _ in range(50)]
-    s, v, first = minhash.Weights(np.linspace(1, 2, 1 << 16), 5).sets(pa.array([" ".join(a), " ".join(b)]))
+    column = pa.array([" ".join(a), " ".join(b)])
+    some = minhash.distinct(column, 5)[0][::3]
+    s, v, first = minhash.Weights(minhash.Found(some, np.linspace(1, 2, len(some))), 1.5, 5).sets(column)
     sig = minhash.Sampler(2000).signatures(s, v, first)
     want = minhash.weighted_jaccard(s[: first[1]], v[: first[1]], s[first[1] :], v[first[1] :])
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
@@ -108,3 +130,10 @@ def test_components(spark):
             lead[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(lead)}
+
+
+def test_unfinished_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
