@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,91 +13,103 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import row_slices, written
+from ._letters import DIGIT, LETTER, OPENINGS, PUNCT, SYMBOL, UPPER, Letters, letters, pieces, term_hash
+from ._shared import row_slices, workspace
+from ._words import Found, U
 
 # Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine deiner deinem deinen ihr euch euer eure tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro vuestra".split())
-# Signs that stand for letters in disguised words.
-LEET = str.maketrans("013457@$", "oieastas")
 FEATURES = ["words", "lexicon_density", "lexicon_hits", "lexicon_weight", "strongest", "second_person", "proximity", "capitals", "capital_words", "exclamations", "questions", "punctuation", "symbols", "obfuscated", "stretched", "digits"]
 NEAR = 5
 
-_WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$*]+[^\W\d_]")
-_DISGUISED = re.compile(r"[\w@$*]*[^\W\d_][0-9@$*]+[^\W\d_][\w@$*]*")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
-_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
-_PUNCT = re.compile(r"[.,;:'\"()!?-]")
-_SYMBOL = re.compile(r"[#$%&*@^~|<>+=_]")
-_DIGIT = re.compile(r"\d")
 
+def _terms(x: Letters) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the openings of longer ones, and which words they are of."""
+    parts = [x.hashes(n) for n in (0, *OPENINGS)]
+    return np.concatenate([h for h, _ in parts]), np.concatenate([at for _, at in parts])
 
-def _terms(word: str) -> tuple[str, ...]:
-    """A word and its openings of 4 to 6 letters."""
-    return (word, *(word[:n] + "~" for n in (4, 5, 6) if len(word) > n))
 
-
-def plain_words(text: str) -> list[str]:
-    low = text.lower()
-    if _MIXED.search(low):
-        low = _DISGUISED.sub(lambda m: m.group().replace("*", "").translate(LEET), low)
-    return _WORD.findall(low)
-
-
-@dataclass
 class Lexicon:
-    """Terms and their weights: log ratios of how often toxic and other texts hold them."""
-
-    weights: dict[str, float]
-
-    def __post_init__(self):
-        self.words: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            got = self.words[word] = max(self.weights.get(t, 0.0) for t in _terms(word))
-        return got
-
-    def features(self, text: str | None) -> list[float]:
-        text = text or ""
-        words = plain_words(text)
-        weight = self.weight
-        w = [weight(x) for x in words]
-        hits = [i for i, x in enumerate(w) if x > 0]
-        n, chars = max(1, len(words)), max(1, len(text))
-        you = [i for i, x in enumerate(words) if x in SECOND_PERSON]
-        near = 0
-        if hits and you:
-            at = np.array(you)
-            k = np.searchsorted(at, hits)
-            h = np.array(hits)
-            gap = np.minimum(np.abs(h - at[np.minimum(k, len(at) - 1)]), np.abs(h - at[np.maximum(k - 1, 0)]))
-            near = int((gap <= NEAR).sum())
-        count = lambda p: sum(1 for _ in p.finditer(text))
-        return [
-            np.log1p(len(words)), len(hits) / n, np.log1p(len(hits)), sum(w) / n, max(w, default=0.0), len(you) / n, near / max(1, len(hits)),
-            count(_CAPITALS) / chars, count(_SHOUTED) / n, text.count("!") / n, text.count("?") / n, count(_PUNCT) / chars, count(_SYMBOL) / chars,
-            count(_MIXED) / n, count(_STRETCHED) / n, count(_DIGIT) / chars,
+    """Terms (by hash) and their weights: log ratios of how often toxic and other texts hold them.
+    A term is a word, or the first 4, 5 or 6 letters of a longer one."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+        self.terms = Found(hashes.astype(U), weights.astype(np.float64))
+        you = np.concatenate([term_hash(w) for w in sorted(SECOND_PERSON)])
+        self.you = Found(you, np.ones(len(you)))
+
+    @classmethod
+    def of(cls, weights: dict[str, float]) -> Lexicon:
+        """From terms in plain, openings with ``~`` at their end."""
+        return cls(np.concatenate([np.zeros(0, U), *(term_hash(t) for t in weights)]), np.array(list(weights.values())))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row of :data:`FEATURES` for each text. Very long texts are looked at in pieces, whose
+        counts add up; a hit and a second person in two pieces are not near each other."""
+        parts, of = pieces(texts)
+        x, n = letters(parts), len(parts)
+        owner = x.owner(x.begin)
+        count = lambda at: np.bincount(x.owner(at), minlength=n)
+        per_word = lambda at: np.bincount(owner[at], minlength=n)
+        weight = np.zeros(len(x.begin))
+        for k in (0, *OPENINGS):
+            h, at = x.hashes(k)
+            i, w = self.terms.of(h)
+            np.maximum.at(weight, at[i], w)
+        hits, you = np.flatnonzero(weight > 0), self.you.of(x.hashes()[0])[0]
+        k = np.searchsorted(you, hits)
+        near = np.zeros(len(hits), bool)
+        if len(you):
+            for peer in (you[np.minimum(k, len(you) - 1)], you[np.maximum(k - 1, 0)]):
+                near |= (np.abs(peer - hits) <= NEAR) & (owner[peer] == owner[hits])
+        strongest = np.zeros(n)
+        np.maximum.at(strongest, owner[hits], weight[hits])
+        capitals = np.concatenate([[0], np.cumsum((x.kinds & UPPER) > 0, dtype=np.int64)])
+        size = x.end - x.begin
+        shouted = np.flatnonzero((size > 1) & (capitals[x.end] - capitals[x.begin] == size))
+        same = (x.low[1:] == x.low[:-1]) & ((x.kinds[1:] & LETTER) > 0)
+        three = np.flatnonzero(same[1:] & same[:-1])
+        stretched = three[np.append(True, np.diff(three) > 1)[: len(three)]]
+        sums = [
+            np.bincount(owner, minlength=n), per_word(hits), np.bincount(owner[hits], weights=weight[hits], minlength=n), per_word(you), per_word(hits[near]),
+            x.per_text(UPPER), per_word(shouted), count(np.flatnonzero(x.cp == ord("!"))), count(np.flatnonzero(x.cp == ord("?"))), x.per_text(PUNCT), x.per_text(SYMBOL),
+            count(x.disguised), count(stretched), x.per_text(DIGIT), np.array([len(p) for p in parts]),
         ]
-
-
-def learn_lexicon(rows, most: int = 400, least: int = 4, ratio: float = 6.0) -> Lexicon:
-    """From (text, label) pairs: terms held by toxic texts ``ratio`` times as often as by others."""
-    held = (Counter(), Counter())
-    size = [0, 0]
-    for text, label in rows:
-        terms = {t for w in set(plain_words(text or "")) for t in _terms(w)}
-        held[label].update(terms)
-        size[label] += 1
-    if not size[1]:
-        return Lexicon({})
-    r = {t: ((n + 0.5) / (size[1] + 1)) / ((held[0][t] + 0.5) / (size[0] + 1)) for t, n in held[1].items() if n >= least}
-    best = sorted((t for t in r if r[t] >= ratio), key=lambda t: (-held[1][t] * np.log(r[t]), t))[:most]
-    return Lexicon({t: float(np.log(r[t])) for t in best})
+        words, hit, total, second, close, upper, loud, exclaim, ask, punct, symbol, mixed, long, digit, chars = (np.bincount(of, weights=s, minlength=len(texts)) for s in sums)
+        most = np.zeros(len(texts))
+        np.maximum.at(most, of, strongest)
+        w, c = np.maximum(1, words), np.maximum(1, chars)
+        columns = [np.log1p(words), hit / w, np.log1p(hit), total / w, most, second / w, close / np.maximum(1, hit), upper / c, loud / w, exclaim / w, ask / w, punct / c, symbol / c, mixed / w, long / w, digit / c]
+        return np.stack(columns, axis=1)
+
+
+def _count_terms(batches):
+    """Of rows text, label: for each term the texts of either label that hold it."""
+    for batch in batches:
+        for part in row_slices(batch, 0):
+            texts, of = pieces(part.column(0).to_pylist())
+            x = letters(texts)
+            h, at = _terms(x)
+            owner = of[x.owner(x.begin[at])]
+            order = np.lexsort((owner, h))
+            h, owner = h[order], owner[order]
+            once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+            h, label = h[once], part.column(1).to_numpy()[owner[once]]
+            if len(h):
+                start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                cols = [h[start].view(np.int64), np.add.reduceat(label == 1, start, dtype=np.int64), np.add.reduceat(label == 0, start, dtype=np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["term", "toxic", "other"])
+
+
+def learn_lexicon(rows: DataFrame, most: int = 400, least: int = 4, ratio: float = 6.0) -> Lexicon:
+    """From columns ``t`` and ``y``: the ``most`` terms that toxic texts hold at least ``least``
+    times and ``ratio`` times as often as others. Counted in Spark; only those terms are collected."""
+    size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = rows.select("t", "y").mapInArrow(_count_terms, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    r = ((F.col("toxic") + 0.5) / (size.get(1, 0) + 1.0)) / ((F.col("other") + 0.5) / (size.get(0, 0) + 1.0))
+    best = counts.where(F.col("toxic") >= least).withColumn("r", r).where(F.col("r") >= ratio)
+    best = best.orderBy((F.col("toxic") * F.log("r")).desc(), "term").limit(most).select("term", F.log("r").alias("w")).collect() if size.get(1) else []
+    return Lexicon(np.array([x.term for x in best], np.int64).view(U), np.array([x.w for x in best], np.float64))
 
 
 def featurize(docs: DataFrame, lexicon: Lexicon, text: str, keep: list[str]) -> DataFrame:
@@ -107,11 +117,11 @@ def featurize(docs: DataFrame, lexicon: Lexicon, text: str, keep: list[str]) ->
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # `most` terms
 
     def run(batches):
-        lex = shared.value
         for batch in batches:
             for part in row_slices(batch, batch.num_columns - 1):
-                x = [lex.features(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*part.schema.names[:-1], "lw_features"])
+                x = shared.value.features(part.column(part.num_columns - 1).to_pylist())
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], rows], [*part.schema.names[:-1], "lw_features"])
 
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lw_features", T.ArrayType(T.DoubleType()))])
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("lw_text")).mapInArrow(run, out)
@@ -126,23 +136,29 @@ class ToxicityModel:
 
 
 def fit(train: DataFrame, text: str = "text", label: str = "toxic", max_docs: int = 20_000, rounds: int = 20, depth: int = 4) -> ToxicityModel:
-    """Fit on about ``max_docs`` labelled rows (label 0 or 1), picked by a hash of the text.
+    """Fit on about ``max_docs`` labelled rows (label 0 or 1), picked by a hash of the text; rows
+    with equal text and label count once, so that no group of copies fills the sample.
 
     The rows' texts fall into three parts by another hash: the lexicon is learned from one half,
     the trees from the other half's first two thirds, and the calibration from its last third, so
     no later step sees texts that an earlier one has learned by heart. Rows with a null label are
     left out. With one label only, or no rows, the model gives the share of label 1 (0 if none).
     """
+    with workspace(train.sparkSession, "toxicity") as table:
+        return _fit(train, text, label, max_docs, rounds, depth, table)
+
+
+def _fit(train: DataFrame, text: str, label: str, max_docs: int, rounds: int, depth: int, table) -> ToxicityModel:
     rows = train.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)")
     total = rows.count()
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < max(1, max_docs * (1 << 20) // total))
-    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("t", F.lit(7)), F.lit(6))), "toxicity-sample")
-    lexicon = learn_lexicon((r.t, r.y) for r in rows.where("fold < 3").toLocalIterator())
-    table = written(featurize(rows, lexicon, "t", ["y", "fold"]).withColumn("features", array_to_vector("lw_features")).withColumn("label", F.col("y").cast("double")), "toxicity-features")
-    counts = {r.y: r.n for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = table(rows.dropDuplicates(["t", "y"]).withColumn("fold", F.pmod(F.xxhash64("t", F.lit(7)), F.lit(6))), "toxicity-sample")
+    lexicon = learn_lexicon(rows.where("fold < 3"))
+    features = table(featurize(rows, lexicon, "t", ["y", "fold"]).withColumn("features", array_to_vector("lw_features")).withColumn("label", F.col("y").cast("double")), "toxicity-features")
+    counts = {r.y: r.n for r in features.groupBy("y").agg(F.count("*").alias("n")).collect()}
     base = counts.get(1, 0) / max(1, sum(counts.values()))
-    grown, held = table.where("fold in (3, 4)"), table.where("fold = 5")
+    grown, held = features.where("fold in (3, 4)"), features.where("fold = 5")
     if grown.select("y").distinct().count() < 2:
         return ToxicityModel(lexicon, None, None, base)
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=3, seed=1).fit(grown.coalesce(1))
