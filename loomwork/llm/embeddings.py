@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import written
+from ._shared import workspace, written
 
 _ROW = "node long, cls long, many long, vec {kind}, home int, cells array<int>"
 
@@ -49,13 +49,18 @@ def assign(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """Rows of equal lengths without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False)
 
 
 def _assigner(centroids, margin):
     def run(batches):
         for batch in batches:
-            size = np.array([len(v) for v in batch.column(3).to_pylist()])
+            size = _lengths(batch.column(3))
             home, cells = np.zeros(len(size), np.int64), [[0]] * len(size)
             base = 0
             for dim in sorted(centroids.value):
@@ -86,9 +91,8 @@ def _compare(threshold: float):
         own = t.filter(t["own"])
         other = t.filter(pc.invert(t["own"]))
         out = {"node": [], "cls": [], "links": [], "peer": []}
-        sizes = lambda s: np.array([len(v) for v in s["vec"].to_pylist()])
         if own.num_rows and other.num_rows:
-            so, sp = sizes(own), sizes(other)
+            so, sp = _lengths(own["vec"].combine_chunks()), _lengths(other["vec"].combine_chunks())
             for dim in np.unique(so):
                 a, b = own.take(pa.array(np.flatnonzero(so == dim))), other.take(pa.array(np.flatnonzero(sp == dim)))
                 if b.num_rows:
@@ -100,7 +104,7 @@ def _compare(threshold: float):
 
 
 def _pairs(a: pa.Table, b: pa.Table, threshold: float, out: dict) -> None:
-    va, vb = _matrix(a["vec"]), _matrix(b["vec"])
+    va, vb = _matrix(a["vec"].combine_chunks()), _matrix(b["vec"].combine_chunks())
     cos = unit_rows(va) @ unit_rows(vb).T
     i, j = np.nonzero(cos >= threshold - 1e-9)
     col = lambda t, n: t[n].to_numpy()
@@ -148,7 +152,8 @@ def near_duplicates(
 
     Two vectors are linked if their cosine, in double precision, is at least ``threshold``.
     Spherical k-means over a sample (``sample`` vectors at most, picked by a hash) makes ``cells``
-    centroids (None: the root of the number of vectors, 8 to 1,024). A vector is compared as a
+    centroids (None: the root of the number of vectors, from 8 to a fourth of ``sample``, so that
+    each cell is learned from some vectors). A vector is compared as a
     member of its nearest cell with all vectors that belong to that cell, which are also those
     within ``margin`` of the plane that parts it from their own. The default is
     ``sqrt((1 - threshold) / 2)``, half the distance of two unit vectors at the threshold: of a pair
@@ -165,6 +170,11 @@ def near_duplicates(
     Rows that share a key are one node of the graph. Other columns are not read; no rows give no
     rows.
     """
+    with workspace(rows.sparkSession, "embeddings") as table:
+        return written(_classes(rows, key, vector, threshold, cells, margin, sample, own_block, other_block, table), "vector-groups")
+
+
+def _classes(rows: DataFrame, key: str, vector: str, threshold: float, cells: int | None, margin: float | None, sample: int, own_block: int, other_block: int, table) -> DataFrame:
     spark = rows.sparkSession
     margin = math.sqrt(max(0.0, 1 - threshold) / 2) + 1e-6 if margin is None else margin
     kind = rows.schema[vector].dataType.simpleString()
@@ -172,9 +182,9 @@ def near_duplicates(
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = v.withColumns({"ok": F.coalesce(F.col("id").isNotNull() & finite, F.lit(False)), "cls": F.xxhash64("vec")})
     classes = v.where("ok").groupBy("cls", "vec").agg(F.min("id").alias("node"), F.count("*").alias("many")).select("node", "cls", "many", "vec")
-    classes = written(classes, "vector-classes")
+    classes = table(classes, "vector-classes")
     n = classes.count()
-    k = cells or max(8, min(1024, math.isqrt(n)))
+    k = cells or max(8, min(sample // 4, math.isqrt(n)))
     # Spherical k-means on a bounded sample.
     part = classes.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 20)) < sample * (1 << 20) // max(1, n)) if n > sample else classes
     by_dim: dict[int, list] = {}
@@ -182,7 +192,7 @@ def near_duplicates(
         by_dim.setdefault(len(r.vec), []).append(r.vec)
     centroids = {d: spherical_kmeans(unit_rows(np.array(x, np.float64)), k) for d, x in by_dim.items()}
     shared = spark.sparkContext.broadcast(centroids)
-    placed = written(classes.mapInArrow(_assigner(shared, margin), _ROW.format(kind=kind)), "vector-cells")
+    placed = table(classes.mapInArrow(_assigner(shared, margin), _ROW.format(kind=kind)), "vector-cells")
     # Blocks: one row a cell reaches the driver.
     own_n = {r.home: r.n for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect()}
     all_n = {r.c: r.n for r in placed.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
@@ -194,17 +204,17 @@ def near_duplicates(
     a = placed.withColumn("cell", F.col("home")).join(blocks, "cell").select("cell", salt("nb").alias("x"), F.explode(F.expr("sequence(0, mb - 1)")).alias("y"), F.lit(True).alias("own"), *base, "cells")
     b = placed.select(*base, F.explode("cells").alias("cell")).join(blocks, "cell").select("cell", F.explode(F.expr("sequence(0, nb - 1)")).alias("x"), salt("mb").alias("y"), F.lit(False).alias("own"), *base, none.alias("cells"))
     met = a.unionByName(b).groupBy("cell", "x", "y").applyInArrow(_compare(threshold), "node long, cls long, links long, peer long")
-    met = written(met, "vector-links")
+    met = table(met, "vector-links")
     links = met.groupBy("node", "cls").agg(F.sum("links").alias("links"))
-    graph = components(met.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    graph = components(met.select(F.col("node").alias("a"), F.col("peer").alias("b")), table=table)
     per_class = classes.join(links, ["node", "cls"], "left").select("node", "cls", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     same = classes.select("cls", "vec", "node")
     good = v.where("ok").join(same, ["cls", "vec"]).select("id", "cls", "node").join(per_class, ["node", "cls"])
     # Rows that share a key join their classes' components.
-    own = written(good.join(graph, "node", "left").select("id", "cls", "n_links", F.coalesce("component", "node").alias("c")), "vector-components")
+    own = table(good.join(graph, "node", "left").select("id", "cls", "n_links", F.coalesce("component", "node").alias("c")), "vector-components")
     shared_keys = own.groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     if not shared_keys.isEmpty():
-        joined = components(own.select(F.col("id").alias("a"), F.col("c").alias("b")))
+        joined = components(own.select(F.col("id").alias("a"), F.col("c").alias("b")), table=table)
         own = own.join(joined, own["id"] == joined["node"], "left").select("id", "cls", "n_links", F.coalesce("component", "c").alias("c"))
     good = own.select(F.col("id").alias(key), "n_links", F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
     rest = v.where("not ok").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
