@@ -11,7 +11,7 @@ becomes ``<\n|``. So no text can forge a mark, and :func:`read_back` gives every
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>\n"
@@ -29,41 +29,84 @@ def unescape(c: Column) -> Column:
     return _swap(_swap(_swap(c, "<\\n|", "\n"), "<\\|", "<|"), "\\\\", "\\")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def sums_before(numbers: Column, chunk: int = 128) -> Column:
+    """For each number of an array the sum of those before it: sums of whole chunks, and of the
+    rest, so that an array of 100,000 takes seconds (an accumulator that grows is copied each time)."""
+
+    def of(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / chunk).cast("int")), lambda c: _sum(F.slice(all_, c * chunk + 1, F.lit(chunk))))
+        whole = lambda k: F.floor(k / chunk).cast("int")
+        before = lambda sums: F.transform(all_, lambda _, k: _sum(F.slice(sums, F.lit(1), whole(k))) + _sum(F.slice(all_, whole(k) * chunk + 1, k % chunk)))
+        return _let(chunks, before)
+
+    return _let(numbers, of)
+
+
+def merge_turns(turns: Column) -> Column:
+    """A sorted array of turns as blocks: adjacent turns of one role become one, with all their texts."""
+
+    def blocks(starts: Column) -> Column:
+        def block(s: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(turns))
+            return F.struct(F.get(turns, s).role.alias("role"), F.transform(F.slice(turns, s + 1, end - s), lambda x: x.text).alias("texts"))
+
+        return F.transform(starts, block)
+
+    opens = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i).role != F.get(turns, i - 1).role))
+    return _let(opens, blocks)
+
+
+def _head(role: Column) -> Column:
+    return F.concat(F.lit(START), _swap(escape(role), "\n", "<\\n|"), F.lit("\n"))
+
+
+def _written(block: Column) -> Column:
+    return F.concat(_head(block.role), F.array_join(F.transform(block.texts, escape), NEXT), F.lit(END))
+
+
+def _spans(blocks: Column, learn: str) -> Column:
+    """Where the texts of the role ``learn`` stand in all blocks, written one after the other."""
+
+    def block(b: Column, before: Column) -> Column:
+        sizes = F.transform(b.texts, lambda t: F.char_length(escape(t)))
+        start = before + F.char_length(_head(b.role)) + 1
+        span = lambda size, at: F.struct((start + at).alias("start"), size.alias("length"))
+        learned = _let(sizes, lambda z: F.zip_with(z, sums_before(F.transform(z, lambda n: n + len(NEXT))), span))
+        return F.when(b.role == learn, learned).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
+
+    return F.flatten(F.zip_with(blocks, sums_before(F.transform(blocks, lambda b: F.char_length(_written(b)))), block))
+
+
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv``, ``formatted`` and ``loss_spans``.
 
     ``loss_spans`` holds start (from 1) and length, in code points of ``formatted``, of each text
     of the role ``learn``. Turns sort by ``turn`` (nulls first), then role, then text; repeated
     rows stay as turns of their own. A null role or text counts as empty, rows with a null
-    ``conv`` make one conversation, other columns are not read, and no rows give no rows. Offsets
-    come from a running sum, which spills, so a conversation of any length costs linear time.
+    ``conv`` make one conversation, other columns are not read, and no rows give no rows.
+
+    The turns of a conversation are gathered once, as one array of structs, sorted and merged in
+    it: one exchange by conversation. A conversation is a row, so it has to fit in a task.
     """
-    key = F.col(f"`{conv}`")
-    t = rows.select(
-        key.alias("conv"), F.col(f"`{turn}`").alias("turn"),
-        F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-    )
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    t = t.withColumns({"n": F.row_number().over(order), "opens": F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True)), "closes": F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True))})
-    head = F.when(F.col("opens"), F.concat(F.lit(START), _swap(escape(F.col("role")), "\n", "<\\n|"), F.lit("\n"))).otherwise(F.lit(NEXT))
-    t = t.withColumns({"head": head, "body": escape(F.col("text"))})
-    size = F.char_length("head") + F.char_length("body") + F.when(F.col("closes"), len(END)).otherwise(0)
-    t = t.withColumns({
-        "block": F.sum(F.col("opens").cast("int")).over(order),
-        "start": (F.coalesce(F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.char_length("head") + 1).cast("int"),
-    })
-    sorted_turns = F.array_sort(F.collect_list(F.struct("n", "head", "body", "start")))
-    blocks = t.groupBy("conv", "block", "role").agg(sorted_turns.alias("turns")).select(
-        "conv", "block",
-        F.concat(F.array_join(F.transform("turns", lambda x: F.concat(x.head, x.body)), ""), F.lit(END)).alias("piece"),
-        F.when(F.col("role") == learn, F.transform("turns", lambda x: F.struct(x.start.alias("start"), F.char_length(x.body).alias("length"))))
-        .otherwise(F.array().cast("array<struct<start:int,length:int>>")).alias("spans"),
+    turns = F.struct(
+        F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     )
-    whole = blocks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "piece", "spans"))).alias("blocks"))
-    return whole.select(
+    chats = rows.groupBy(F.col(f"`{conv}`").alias("conv")).agg(F.sort_array(F.collect_list(turns)).alias("turns"))
+    chats = chats.select("conv", merge_turns(F.col("turns")).alias("blocks"))
+    return chats.select(
         F.col("conv").alias(conv),
-        F.array_join(F.col("blocks.piece"), "").alias("formatted"),
-        F.flatten(F.col("blocks.spans")).alias("loss_spans"),
+        F.array_join(F.transform("blocks", _written), "").alias("formatted"),
+        _spans(F.col("blocks"), learn).alias("loss_spans"),
     )
 
 
@@ -79,6 +122,18 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s.start, s.length))), "")
+def loss_text(formatted: Column, spans: Column, chunk: int = 4096) -> Column:
+    """All text under the loss mask, unescaped. Spans are cut from chunks, as finding a place in a
+    long text takes time in proportion to it."""
+
+    def of(chunks: Column) -> Column:
+        def cut(s: Column) -> Column:
+            first = F.floor((s.start - 1) / chunk).cast("int")
+            last = F.floor((s.start + s.length - 2) / chunk).cast("int")
+            held = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+            return unescape(F.substr(held, (s.start - 1) % chunk + 1, s.length))
+
+        return F.array_join(F.transform(spans, cut), "")
+
+    places = F.sequence(F.lit(0), F.floor(F.char_length(formatted) / chunk).cast("int"))
+    return _let(F.transform(places, lambda c: F.substr(formatted, c * chunk + 1, F.lit(chunk))), of)

@@ -29,6 +29,25 @@ def test_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    turns = [(7, i, "user" if i % 3 == 0 else "assistant", f"<|{i}|> " + "é" * (i % 50)) for i in range(6000)]
+    rows = [*turns, (8, 0, "assistant", "é\\" * 300_000), (9, 0, "user", "x")] + [(9, i, "assistant", f"{i}|") for i in range(1, 3000)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = out.withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    for r in out.collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3]) for x in own]
+        assert r.loss == "".join(x[3] for x in own if x[2] == "assistant")
+        plain = lambda s: s.replace("<\\|", "<|").replace("\\\\", "\\")
+        assert [plain(r.formatted[s.start - 1 : s.start - 1 + s.length]) for s in r.loss_spans] == [x[3] for x in own if x[2] == "assistant"]
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 5, 127, 128, 129, 700):
+        got = spark.range(1).select(chat.sums_before(F.array(*map(F.lit, range(n))).cast("array<int>")).alias("s")).first().s
+        assert got == [k * (k - 1) // 2 for k in range(n)]
+
+
 def test_query_holds_the_forged_conversation(spark):
     from loomwork.llm.queries import FORGED, op6_chat_format
 
