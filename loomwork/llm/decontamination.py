@@ -316,7 +316,7 @@ def find_leaks(
     wanted = items.select(F.col(f"`{item_key}`").cast("long").alias("k"), F.col(f"`{item_text}`").alias("t")).where("length(trim(t)) > 0")
     total = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // max_item_chars)
-    kind = T._parse_datatype_string(f"array<{LEAK}>")
+    kind = T.DataType.fromDDL(f"array<{LEAK}>")
     out = docs.select(*(F.col(f"`{c}`") for c in keep), F.array().cast(kind).alias("leaks"), F.col(f"`{text}`").alias("lw_text"))
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("k", "t").collect()

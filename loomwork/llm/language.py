@@ -16,6 +16,7 @@ from ._shared import row_slices
 BITS = 16
 ORDERS = (2, 3)
 BLOCK = 4096
+CELLS = 1 << 22
 _LETTERS = re.compile(r"[^\W\d_]")
 
 
@@ -23,14 +24,30 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(m.group().isalpha() for m in _LETTERS.finditer(text))
 
 
-def buckets(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the bucket of the n-gram that begins at each character; the texts' starts.
+PIECE = 1 << 20  # characters of a text looked at together
 
-    Each text is lower-cased and followed by two spaces, so no n-gram spans two texts.
+
+def buckets(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the bucket of the n-gram that begins at each character; where segments of
+    characters begin, and each segment's text.
+
+    Each text is lower-cased and followed by two spaces, so no n-gram spans two texts. Longer ones
+    are cut into pieces that overlap by two characters, whose n-grams belong to the next piece: the
+    segments of these have the text -1.
     """
-    low = [t.lower() + "  " for t in texts]
-    cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in low])[:-1]]).astype(np.int64)
+    pieces, starts, of, at = [], [], [], 0
+    for i, t in enumerate(texts):
+        low = t.lower() + "  "
+        for a in range(0, len(low), PIECE):
+            piece = low[a : a + PIECE + max(ORDERS) - 1]
+            starts.append(at)
+            of.append(i)
+            if len(piece) > PIECE and a + PIECE < len(low):
+                starts.append(at + PIECE)
+                of.append(-1)
+            at += len(piece)
+            pieces.append(piece)
+    cp = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
     cp = np.concatenate([cp, np.full(max(ORDERS), 32, np.uint32)])
     n, out = len(cp) - max(ORDERS), []
     for order in ORDERS:
@@ -39,7 +56,7 @@ def buckets(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray], np.nd
             h = (h ^ cp[k : k + n]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         out.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits))
-    return out, starts
+    return out, np.array(starts, np.int64), np.array(of, np.int64)
 
 
 @dataclass
@@ -53,9 +70,16 @@ class LanguageModel:
     extra: dict = field(default_factory=dict)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Posterior of each language for each text."""
-        grams, starts = buckets(texts, self.bits)
-        s = self.prior + sum(np.add.reduceat(self.table[g], starts, axis=0, dtype=np.float64) for g in grams)
+        """Posterior of each language for each text. ``CELLS`` numbers of the table at a time."""
+        grams, starts, of = buckets(texts, self.bits)
+        s = np.tile(self.prior, (len(texts), 1))
+        step = max(1024, CELLS // max(1, len(self.langs)))
+        for c in range(0, len(grams[0]), step):
+            lo, hi = np.searchsorted(starts, [c, c + step], "right")
+            inside = starts[lo:hi][starts[lo:hi] < c + step]
+            begin, text = np.concatenate([[c], inside]) - c, of[lo - 1 : lo + len(inside)]
+            sums = sum(np.add.reduceat(self.table[g[c : c + step]], begin, axis=0, dtype=np.float64) for g in grams)
+            np.add.at(s, text[text >= 0], sums[text >= 0])
         s = np.exp(s - s.max(axis=1, keepdims=True))
         return s / s.sum(axis=1, keepdims=True)
 
@@ -64,12 +88,15 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
     """Fit on about ``max_docs`` rows of ``train`` with a language, picked by a hash of the text.
 
     Tasks count n-grams into arrays of fixed size, Spark adds them up by language and block; what
-    reaches the driver is the model: ``max_langs`` (the most frequent languages) times ``2**bits``
-    numbers at most. Rows with a null text or language are left out; no rows give a model without
-    languages.
+    reaches the driver is the model: a table of as many columns as there are languages. Rows of
+    more than ``max_langs`` languages raise an error instead of leaving one out: give more, at
+    ``2**bits`` numbers of 4 bytes each. Rows with a null text or language are left out; no rows
+    give a model without languages.
     """
     rows = train.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null")
-    found = sorted(((r.n, r.l) for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()), key=lambda x: x[1])
+    found = sorted(((r.n, r.l) for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()), key=lambda x: x[1])
+    if len(found) > max_langs:
+        raise ValueError(f"there are more than max_langs={max_langs} languages")
     langs, total = [x[1] for x in found], sum(x[0] for x in found)
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < max(1, max_docs * (1 << 20) // total))
@@ -80,9 +107,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
         for batch in batches:
             for part in row_slices(batch, 0):
                 labels = np.array([index.get(x, -1) for x in part.column(1).to_pylist()])
-                grams, starts = buckets(part.column(0).to_pylist(), bits)
-                sizes = np.diff(np.append(starts, len(grams[0])))
-                of = np.repeat(labels, sizes)
+                grams, starts, text = buckets(part.column(0).to_pylist(), bits)
+                of = np.repeat(np.where(text < 0, -1, labels[text]), np.diff(np.append(starts, len(grams[0]))))
                 for k in set(labels[labels >= 0].tolist()):
                     mine = of == k
                     got = sum(np.bincount(g[mine], minlength=1 << bits) for g in grams)

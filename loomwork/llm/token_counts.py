@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokenizer
@@ -23,6 +24,17 @@ def _encoder(args):
     return encode
 
 
+def _stored(spark: SparkSession, cache: str) -> DataFrame | None:
+    try:
+        found = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+        found.schema  # noqa: B018  a remote session looks only now
+        return found
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def token_counts(docs: DataFrame, text: str = "text", cache: str | None = None, bpe=None, out: str = "n_tokens") -> DataFrame:
     """``docs`` with the column ``out``: how many tokens each whole text has.
 
@@ -38,12 +50,9 @@ def token_counts(docs: DataFrame, text: str = "text", cache: str | None = None,
     spark = docs.sparkSession
     bpe = bpe or tokenizer.public()
     cache = cache or scratch_path(spark, "token-cache")
-    own = F.coalesce(F.col(text), F.lit(""))
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.withColumn("lw_digest", digest(own, F.lit("\x00" + tokenizer.version(bpe[0]))))
-    fs = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    known = None
-    if fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(fs):
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+    known = _stored(spark, cache)
     wanted = keyed.select("lw_digest", own.alias("lw_text"))
     if known is not None:
         wanted = wanted.join(known.select("lw_digest"), "lw_digest", "left_anti")

@@ -96,9 +96,12 @@ def test_packing_odd_rows(spark, library):
     assert pack(no_docs(spark)).count() == 0
 
 
-def test_query_columns(spark):
+def test_query_against_the_library(spark, library):
     from loomwork.llm.queries import op4_packing
 
-    for r in op4_packing(spark, SF).limit(5).collect():
-        assert 0 <= r.ids_crc32 < 1 << 32 and r.offset + r.length <= 1024
-    assert zlib.crc32(b"") == 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {d: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for d, t in texts.items()}
+    rows = op4_packing(spark, SF).collect()
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.offset + r.length <= 1024
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
