@@ -31,22 +31,22 @@ def buckets(texts: list[str], bits: int = BITS) -> tuple[list[np.ndarray], np.nd
     """For each order the bucket of the n-gram that begins at each character; where segments of
     characters begin, and each segment's text.
 
-    Each text is lower-cased and followed by two spaces, so no n-gram spans two texts. Longer ones
-    are cut into pieces that overlap by two characters, whose n-grams belong to the next piece: the
-    segments of these have the text -1.
+    Each text is lower-cased and followed by two spaces, at which no n-gram begins, so none spans
+    two texts. Longer ones are cut into pieces that overlap by two characters, whose n-grams belong
+    to the next piece: the segments of these, and of the spaces, have the text -1.
     """
     pieces, starts, of, at = [], [], [], 0
     for i, t in enumerate(texts):
-        low = t.lower() + "  "
-        for a in range(0, len(low), PIECE):
-            piece = low[a : a + PIECE + max(ORDERS) - 1]
-            starts.append(at)
-            of.append(i)
-            if len(piece) > PIECE and a + PIECE < len(low):
-                starts.append(at + PIECE)
-                of.append(-1)
-            at += len(piece)
-            pieces.append(piece)
+        low = t.lower()
+        for a in range(0, max(1, len(low)), PIECE):
+            own = min(PIECE, len(low) - a)
+            pieces.append(low[a : a + own + 2].ljust(own + 2))
+            if own:
+                starts.append(at)
+                of.append(i)
+            starts.append(at + own)
+            of.append(-1)
+            at += own + 2
     cp = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
     cp = np.concatenate([cp, np.full(max(ORDERS), 32, np.uint32)])
     n, out = len(cp) - max(ORDERS), []
