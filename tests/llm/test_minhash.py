@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,14 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_nothing_but_the_result_stays(spark):
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    tables = lambda: {p.parent for p in top.rglob("*.parquet") if p.stat().st_size > 1000}
+    before = tables()
+    assert minhash.near_duplicates(spark.createDataFrame(corpus()[:60], SCHEMA)).count() == 60
+    assert {p.name.rsplit("-", 1)[0] for p in tables() - before} == {"near-duplicate-classes"}
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(k, k + 1) for k in range(100, 130)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, k) for k in range(201, 260)] + [(5, 5)]
