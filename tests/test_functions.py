@@ -244,3 +244,31 @@ def test_reading_other_versions(spark):
     new = spark.createDataFrame([(1, [("a", 1)], "n")], "id int, items array<struct<value:string,k:int>>, name string")
     old = T.StructType([T.StructField("id", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("state", T.StringType(), True, {"default": "ready"})])
     assert catalog.read_as(new, old).first().asDict() == {"id": 1, "items": ["a"], "state": "ready"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from loomwork.plans.staging import shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session(spark_master="spark://host:7077", spark_app_id="a"))
+    assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///x/")) == "hdfs:///x"
+    assert shared_dir(Session(spark_master="local[2]", spark_app_id="b")) == shared_dir(Session(spark_master="local[2]", spark_app_id="b"))
+
+
+def test_nodes_and_enumerants(spark):
+    df = spark.createDataFrame([("b", (1, "x")), ("a", (2, "y")), (None, None), ("b", None)], "kind string, home struct<n:int,name:string>")
+    assert [tuple(r)[:5] for r in catalog.nodes(df, "t", "f00dfeedf00dfeed").orderBy("path").collect()] == [("t", None, 2, 0, 2), ("t.home", "t", 2, 1, 1)]
+    assert [tuple(r) for r in catalog.enumerants(df, "kind", "kind").orderBy("ordinal").collect()] == [("kind", 0, "a"), ("kind", 1, "b")]
+
+
+def test_calculations(spark):
+    rows = [(1, 1, "multiply", (2.0, None), (3.0, None)), (1, 2, "subtract", (None, 1), (1.5, None)), (1, 3, "divide", (None, 2), (None, 1)), (1, 4, "power", (1.0, None), (1.0, None)), (1, 5, "add", (None, 9), (1.0, None)), (2, 1, "divide", (1.0, None), (0.0, None))]
+    df = spark.createDataFrame(rows, "calc int, step int, op string, left struct<value:double,ref:int>, right struct<value:double,ref:int>").repartition(3)
+    got = {(r.calc, r.step): r.result for r in wl.calculate(df).collect()}
+    assert got == {(1, 1): 6.0, (1, 2): 4.5, (1, 3): 0.75, (1, 4): None, (1, 5): None, (2, 1): None}
+    own = {"add": lambda a, b: F.greatest(a, b)}
+    assert {r.result for r in wl.calculate(df.where("step = 4").withColumn("op", F.lit("add")), own).collect()} == {1.0}
