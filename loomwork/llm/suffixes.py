@@ -16,7 +16,9 @@ from ._shared import forget, row_slices, workspace, written
 from ._words import words
 
 _ID = ["k1", "k2", "pos"]
-PASSAGES = {"unit": WORDS, "span": 50, "gram": 25}  # every passage of over 50 words, also where its first or last word has grown together with what stands around it
+#: Every passage of over 50 words, also where its first and its last word have grown together with
+#: what stands around them: 49 whole words are left.
+PASSAGES = {"unit": WORDS, "span": 49, "gram": 24}
 
 
 def multikey_quicksort(keys: list[bytes]) -> np.ndarray:
