@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .encoding import let
+
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 
 
@@ -46,24 +48,35 @@ def _no_underscores(text: Column) -> Column:
 def parse_unsigned(text: Column) -> Column:
     """Decimal digits, with a plus sign or not, or ``0x`` and hexadecimal ones; underscores are
     ignored; null for anything else (``0X`` too) and beyond 64 bits."""
-    t = _no_underscores(text)
+    number = lambda d: F.when(F.length(d) <= 20, d).try_cast("decimal(38,0)")
+    return let(let(let(_no_underscores(text), _digits), number), lambda value: F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value.cast("decimal(20,0)")))
+
+
+def _digits(t: Column) -> Column:
+    """The decimal digits of an unsigned integer without leading zeros."""
     hexes = F.when(t.rlike("^0x[0-9a-fA-F]+$"), F.regexp_replace(F.substring(t, 3, 1 << 30), "^0+(?=.)", ""))
-    digits = F.when(t.rlike(r"^\+?[0-9]+$"), F.regexp_replace(t, r"^\+?0*(?=.)", "")).when(F.length(hexes) <= 16, F.conv(hexes, 16, 10))
-    value = F.when(F.length(digits) <= 20, digits).try_cast("decimal(38,0)")
-    return F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value.cast("decimal(20,0)"))
+    of_hexes = let(hexes, lambda h: F.when(F.length(h) <= 16, F.conv(h, 16, 10)))
+    return F.when(t.rlike(r"^\+?[0-9]+$"), F.regexp_replace(t, r"^\+?0*(?=.)", "")).otherwise(of_hexes)
 
 
 def parse_signed(text: Column) -> Column:
     """As :func:`parse_unsigned` or with a minus sign, if a long can hold it."""
-    negative = text.startswith("-") & ~text.startswith("-+")
-    size = parse_unsigned(F.when(negative, F.substring(text, 2, 1 << 30)).otherwise(text)).cast("decimal(38,0)")
-    return F.when(negative, -size).otherwise(size).try_cast("long")
+
+    def read(t: Column) -> Column:
+        negative = t.startswith("-") & ~t.startswith("-+")
+        size = parse_unsigned(F.when(negative, F.substring(t, 2, 1 << 30)).otherwise(t)).cast("decimal(38,0)")
+        return let(size, lambda n: F.when(negative, -n).otherwise(n).try_cast("long"))
+
+    return let(text, read)
 
 
 def parse_float(text: Column) -> Column:
     """A double, underscores ignored; ``inf``, ``infinity`` and ``nan`` in any case, with a sign or not."""
-    low = F.lower(text)
+    return let(F.lower(text), _float)
+
+
+def _float(low: Column) -> Column:
     bare = F.regexp_replace(low, "^[+-]", "")
-    special = F.when(bare.isin("inf", "infinity"), F.when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).when(bare == "nan", F.lit(float("nan")))
-    plain = _no_underscores(low)
-    return F.coalesce(special, F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), plain.try_cast("double")))
+    special = let(bare, lambda b: F.when(b.isin("inf", "infinity"), F.when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).when(b == "nan", F.lit(float("nan"))))
+    plain = lambda t: F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), t.try_cast("double"))
+    return F.coalesce(let(_no_underscores(low), plain), special)

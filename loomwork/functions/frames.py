@@ -64,8 +64,8 @@ def pack_words(raw: bytes) -> bytes:
 
 def frame_of(record: Column, schema: T.StructType) -> Column:
     """A record of 64-bit integers and doubles as a frame of one segment, a word a field."""
-    word = lambda f: double_bits(record.getField(f.name)) if isinstance(f.dataType, T.DoubleType) else record.getField(f.name)
-    return encode_frame(F.array(F.concat(*(little_endian(word(f), 8) for f in schema.fields))))
+    word = lambda r, f: double_bits(r.getField(f.name)) if isinstance(f.dataType, T.DoubleType) else r.getField(f.name)
+    return let(record, lambda r: encode_frame(F.array(F.concat(*(little_endian(word(r, f), 8) for f in schema.fields)))))
 
 
 def record_of(raw: Column, schema: T.StructType) -> Column:

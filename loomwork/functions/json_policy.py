@@ -28,8 +28,7 @@ def _bytes(raw: Column) -> Column:
 
 
 def _json_string(text: Column) -> Column:
-    whole = F.to_json(F.struct(text.alias("v")))
-    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+    return let(F.to_json(F.struct(text.alias("v"))), lambda whole: F.substr(whole, F.lit(6), F.length(whole) - 6))
 
 
 def _double(value: Column, kind: T.DataType) -> Column:
@@ -52,14 +51,16 @@ def _json(value: Column, kind: T.DataType, handlers: Handlers, path: str) -> Col
         return float_json(_double(value, kind))
     if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.BooleanType):
         return value.cast("string")
-    return F.when(value.isNotNull(), _json_string(value.cast("string")))
+    if isinstance(kind, T.LongType | T.DecimalType):
+        return F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+    return let(value.cast("string"), lambda t: F.when(t.isNotNull(), _json_string(t)))
 
 
 def encode(record: Column, schema: T.StructType, handlers: Handlers | None = None) -> Column:
     """``record`` as JSON text in the order of its fields; null fields are left out. Integers of 64
     bits and decimals are strings, bytes are arrays of numbers, floats have their shortest form,
     quoted names where they are not finite. ``handlers`` give JSON text for a field or a type."""
-    return _json(record, schema, handlers or {}, "")
+    return let(record, lambda r: _json(r, schema, handlers or {}, ""))
 
 
 def _accepted(v: Column, kind: T.DataType, handlers: Handlers, path: str) -> Column:
@@ -67,18 +68,24 @@ def _accepted(v: Column, kind: T.DataType, handlers: Handlers, path: str) -> Col
     own = _handler(handlers, path, kind)
     if own:
         return own(v)
-    of, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    return let(F.schema_of_variant(v), lambda of: _accepted_as(v, of, kind, handlers, path))
+
+
+def _accepted_as(v: Column, of: Column, kind: T.DataType, handlers: Handlers, path: str) -> Column:
+    """``of``: the variant's own kind. Parts are bound by :func:`let`, so that what follows from a
+    value names it once for each field, and not once for all that is made of the fields."""
+    text = F.try_variant_get(v, "$", "string")
     if isinstance(kind, T.StructType):
-        fields = (_accepted(F.try_variant_get(v, f"$['{f.name}']", "variant"), f.dataType, handlers, f"{path}.{f.name}".lstrip(".")).alias(f.name) for f in kind.fields)
-        return F.when(of.startswith("OBJECT"), F.struct(*fields))
+        field = lambda f: let(F.try_variant_get(v, f"$['{f.name}']", "variant"), lambda x: _accepted(x, f.dataType, handlers, f"{path}.{f.name}".lstrip(".")))
+        return F.when(of.startswith("OBJECT"), F.struct(*(field(f).alias(f.name) for f in kind.fields)))
     if isinstance(kind, T.ArrayType):
         return F.transform(F.when(of.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")), lambda x: _accepted(x, kind.elementType, handlers, path + "[]"))
     if isinstance(kind, T.BinaryType):
         numbers = F.transform(F.when(of.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")), lambda x: _accepted(x, T.IntegerType(), {}, ""))
-        whole = F.forall(numbers, lambda n: F.coalesce(n.between(0, 255), F.lit(False)))
-        return let(numbers, lambda n: F.when(whole, F.unhex(F.array_join(F.transform(n, lambda x: F.lpad(F.hex(x), 2, "0")), ""))))
+        whole = lambda n: F.forall(n, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
+        return let(numbers, lambda n: F.when(whole(n), F.unhex(F.array_join(F.transform(n, lambda x: F.lpad(F.hex(x), 2, "0")), ""))))
     if isinstance(kind, _INTEGERS):
-        return F.when((of == "STRING") | (of == "BIGINT") | of.startswith("DECIMAL"), F.when(text.rlike("^-?[0-9]+$"), text.try_cast(kind)))
+        return F.when((of == "STRING") | (of == "BIGINT") | of.startswith("DECIMAL"), let(text, lambda t: F.when(t.rlike("^-?[0-9]+$"), t.try_cast(kind))))
     if isinstance(kind, T.BooleanType):
         return F.when(of == "BOOLEAN", text == "true")
     if isinstance(kind, T.FloatType | T.DoubleType):
@@ -95,7 +102,7 @@ def decode(text: Column, schema: T.StructType, handlers: Handlers | None = None)
     is of another kind than its field is null. ``null`` is nan for a float. Bytes are arrays of
     numbers. Unknown fields are left out, see :func:`unknown_fields`; ``handlers`` make a value of
     a variant."""
-    return _accepted(F.try_parse_json(text), schema, handlers or {}, "")
+    return let(F.try_parse_json(text), lambda v: _accepted(v, schema, handlers or {}, ""))
 
 
 def unknown_fields(text: Column, schema: T.StructType) -> Column:
@@ -105,19 +112,22 @@ def unknown_fields(text: Column, schema: T.StructType) -> Column:
 
 def has_duplicate_keys(text: Column) -> Column:
     """Whether an object names a field twice (:func:`decode` refuses it, and does not take the last)."""
-    keys = F.json_object_keys(text)
-    return F.size(keys) != F.size(F.array_distinct(keys))
+    return let(F.json_object_keys(text), lambda keys: F.size(keys) != F.size(F.array_distinct(keys)))
 
 
 def literal(value: Column, kind: T.DataType) -> Column:
     """A value as a text literal: ``(name = "x", sizes = [1, 2], home = (x = 1.5))``; null fields
     are left out, null elements are empty records, texts or numbers of 0."""
+    return let(value, lambda v: _literal(v, kind))
+
+
+def _literal(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
-        fields = [F.concat(F.lit(f"{f.name} = "), literal(value.getField(f.name), f.dataType)) for f in kind.fields]
+        fields = [F.concat(F.lit(f"{f.name} = "), _literal(value.getField(f.name), f.dataType)) for f in kind.fields]
         return F.when(value.isNotNull(), F.concat(F.lit("("), F.array_join(F.array(*fields), ", "), F.lit(")")))
     if isinstance(kind, T.ArrayType):
         empty = "()" if isinstance(kind.elementType, T.StructType) else '""' if isinstance(kind.elementType, T.StringType | T.BinaryType) else "0"
-        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: F.coalesce(literal(x, kind.elementType), F.lit(empty))), ", "), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: F.coalesce(_literal(x, kind.elementType), F.lit(empty))), ", "), F.lit("]"))
     if isinstance(kind, T.StringType):
         return quote(value)
     if isinstance(kind, T.BinaryType):
@@ -149,5 +159,5 @@ def from_literal(text: Column, schema: T.StructType) -> Column:
     whole = lambda v: F.try_variant_get(v, "$", "string")
     kinds = {t: (lambda v, t=t: parse_signed(whole(v)).try_cast(t())) for t in _INTEGERS}
     kinds |= {T.StringType: lambda v: unquote(whole(v)), T.BinaryType: lambda v: unquote_bytes(whole(v))}
-    json = _tree(text)
-    return F.when(F.size(unknown_fields(json, schema)) == 0, decode(json, schema, kinds))
+    read = lambda json: F.when(F.size(unknown_fields(json, schema)) == 0, decode(json, schema, kinds))
+    return let(text, lambda t: let(_tree(t), read))

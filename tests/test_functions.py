@@ -272,3 +272,25 @@ def test_calculations(spark):
     assert got == {(1, 1): 6.0, (1, 2): 4.5, (1, 3): 0.75, (1, 4): None, (1, 5): None, (2, 1): None}
     own = {"add": lambda a, b: F.greatest(a, b)}
     assert {r.result for r in wl.calculate(df.where("step = 4").withColumn("op", F.lit("add")), own).collect()} == {1.0}
+
+
+_TWO = T.StructType([T.StructField("key", T.LongType()), T.StructField("rate", T.DoubleType())])
+_WIDE = T.StructType([T.StructField(f"f{k}", kind) for k, kind in enumerate([T.LongType(), T.StringType(), T.DoubleType(), T.ArrayType(T.LongType())] * 3)])
+
+
+@pytest.mark.parametrize("made", [
+    lambda t: js.decode(t, _WIDE), lambda t: js.encode(js.decode(t, _WIDE), _WIDE), lambda t: fr.frame_of(js.decode(t, _TWO), _TWO),
+    lambda t: js.literal(js.decode(t, _WIDE), _WIDE), lambda t: js.from_literal(js.literal(js.decode(t, _WIDE), _WIDE), _WIDE),
+])
+def test_expressions_name_their_input_once(spark, made):
+    """However many fields there are: expressions in each other would grow as the power of their depth."""
+    assert str(made(F.concat(F.col("t"), F.lit("mark")))).count("mark") == 1
+
+
+def test_nested_records_through_all_forms(spark):
+    inner = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.ArrayType(T.StructType([T.StructField("c", T.StringType())])))])
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("i", inner)])
+    text = '{"n":"-9223372036854775808","x":"-Infinity","i":{"a":"7","b":[{"c":"é \\"q\\""},{}]}}'
+    d = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select("t", js.decode(F.col("t"), schema).alias("r"))
+    got = d.select(js.encode(F.col("r"), schema).alias("json"), js.encode(js.from_literal(js.literal(F.col("r"), schema), schema), schema).alias("again")).collect()
+    assert [tuple(r) for r in got] == [(text, text), (None, None), (None, None)]
