@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.encoding import let
 from ..functions.json_policy import decode, encode
 
 
@@ -35,8 +36,8 @@ def canonical(df: DataFrame, columns: list[str]) -> Column:
 
 def is_canonical(text: Column, schema: T.StructType) -> Column:
     """Whether a record's text is its canonical one; null where it is no record of ``schema``."""
-    record = decode(text, schema)
-    return F.when(record.isNotNull(), encode(_defaults_out(record, schema), schema) == text)
+    same = lambda record: F.when(record.isNotNull(), encode(_defaults_out(record, schema), schema) == text)
+    return let(decode(text, schema), same)
 
 
 def distinct_records(df: DataFrame, columns: list[str]) -> DataFrame:
