@@ -75,6 +75,7 @@ ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\
 
 
 _CONTROL = "[\\x00-\\x1f\\x7f\\x{80}-\\x{9f}]"
+_PLAIN = _CONTROL.replace("[", "[^")
 
 
 def _octal(raw: Column) -> Column:
@@ -87,8 +88,12 @@ def quote(text: Column) -> Column:
     """Text in quotes; control characters as octal bytes."""
     for plain, escaped in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(escaped))
-    signs = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_CONTROL), _octal(c)).otherwise(c))
-    return F.concat(F.lit('"'), F.when(text.rlike(_CONTROL), F.array_join(signs, "")).otherwise(text), F.lit('"'))
+
+    def of(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(f"(?s){_CONTROL}+|{_PLAIN}+"), F.lit(0))
+        return F.when(t.rlike(_CONTROL), F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^" + _CONTROL), _octal(r)).otherwise(r)), "")).otherwise(t)
+
+    return F.concat(F.lit('"'), let(text, of), F.lit('"'))
 
 
 def quote_bytes(raw: Column) -> Column:
@@ -110,16 +115,25 @@ def quote_bytes(raw: Column) -> Column:
 def unquote_bytes(text: Column) -> Column:
     """The bytes inside quotes: the escapes, ``\\ooo`` and ``\\xhh``; null without quotes or where an
     escape is none of these."""
-    inner = F.when(text.rlike('(?s)^".*"$'), F.substr(text, F.lit(2), F.length(text) - 2))
-    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)(\\[0-3][0-7]{2}|\\x[0-9a-fA-F]{2}|\\[^0-9x]|[^\\]+|\\)"), F.lit(1))
-
-    def raw(p: Column) -> Column:
-        out = F.when(p.rlike(r"^\\[0-3]"), F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0")).when(p.rlike(r"^\\x"), F.substring(p, 3, 2)).when(~p.startswith("\\"), F.hex(p))
-        for plain, escaped in ESCAPES:
-            out = F.when(p == escaped, F.lit(plain.encode().hex())).otherwise(out)
-        return out
-
-    return let(F.transform(pieces, raw), lambda h: F.when(~F.exists(h, lambda x: x.isNull()), F.unhex(F.array_join(h, ""))))
+    def read(t: Column) -> Column:
+        inner = F.when(t.startswith('"') & t.endswith('"') & (F.length(t) >= 2), F.substr(t, F.lit(2), F.length(t) - 2))
+        # Between two escaped backslashes every other backslash begins an escape.
+        return let(F.split(inner, r"\\\\", -1), lambda parts: let(F.transform(parts, part), joined))
+
+    def part(p: Column) -> Column:
+        short = p
+        for plain, escaped in ESCAPES[1:]:
+            short = F.replace(short, F.lit(escaped), F.lit(plain))
+        return let(short, lambda s: F.when(F.contains(s, F.lit("\\")), coded(s)).otherwise(F.hex(s)))
+
+    def coded(s: Column) -> Column:
+        """The bytes of a part with codes, in hexadecimal digits; null where an escape is no code."""
+        pieces = F.regexp_extract_all(s, F.lit(r"(?s)\\[0-3][0-7]{2}|\\x[0-9a-fA-F]{2}|[^\\]+|\\"), F.lit(0))
+        raw = lambda p: F.when(~p.startswith("\\"), F.hex(p)).when(p.startswith("\\x"), F.substring(p, 3, 2)).when(p != "\\", F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0"))
+        return let(F.transform(pieces, raw), lambda h: F.when(~F.exists(h, lambda x: x.isNull()), F.array_join(h, "")))
+
+    joined = lambda h: F.when(~F.exists(h, lambda x: x.isNull()), F.unhex(F.array_join(h, "5C")))
+    return let(text, read)
 
 
 def unquote(text: Column) -> Column:

@@ -198,8 +198,8 @@ _QUOTED_SQL = r"""'"' || replace(replace(replace(replace(replace({0}, '\', '\\')
 def quote_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a control character, and what comes back from the quotes."""
     text = F.concat("text", F.lit("\x01"))
-    quoted = en.quote(text)
-    return table(spark, sf_dir, "documents").select("doc_id", quoted.alias("quoted"), F.md5(en.unquote(quoted)).alias("returned_md5"), en.unquote(F.lit(r'"\x61\303\277\n"')).alias("escapes"), F.coalesce(F.length(en.unquote(F.lit(r'"\9"'))), F.lit(0)).alias("refused"))
+    d = table(spark, sf_dir, "documents").select("doc_id", en.quote(text).alias("quoted"))
+    return d.select("doc_id", "quoted", F.md5(en.unquote(F.col("quoted"))).alias("returned_md5"), en.unquote(F.lit(r'"\x61\303\277\n"')).alias("escapes"), F.coalesce(F.length(en.unquote(F.lit(r'"\9"'))), F.lit(0)).alias("refused"))
 
 
 @query("SELECT doc_id, to_base64(encode(text)) AS encoded, md5(text) AS returned_md5, NULL::BLOB AS refused FROM documents")
