@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.frames import MAX_SEGMENTS, MAX_WORDS, pack_words, unpack_some
+from ..functions.frames import MAX_SEGMENTS, MAX_WORDS, pack_many, unpack_some
 
 SCHEMA = "file string, seq long, segments array<binary>"
 
@@ -34,55 +34,102 @@ class Written(WriterCommitMessage):
 CHUNK = 1 << 20  # packed bytes read at a time
 
 
-def _unpacked(stream):
-    """A function that reads so many bytes of what a packed stream stands for."""
-    packed, plain, ended = b"", bytearray(), False
-
-    def read(n: int) -> bytes:
-        nonlocal packed, plain, ended
-        while len(plain) < n and not ended:
-            more = stream.read(CHUNK)
-            ended = not more
-            out, used = unpack_some(packed + more)
-            packed = (packed + more)[used:]
-            plain += out
-            if ended and packed:
-                raise ValueError("it ends within a packed word")
-        out = bytes(plain[:n])
-        del plain[:n]
-        return out
-
-    return read
+def _chunks(stream, framing: str):
+    """The plain bytes of a stream, so many at a time."""
+    packed = b""
+    while more := stream.read(CHUNK):
+        if framing == "standard":
+            yield more
+            continue
+        out, used = unpack_some(packed + more)
+        packed = (packed + more)[used:]
+        yield out
+    if packed:
+        raise ValueError("it ends within a packed word")
 
 
 def frames_of(stream, framing: str, name: str):
-    """The messages of an open file, each a list of segments, one in memory at a time; an error names
-    the byte where one breaks off."""
+    """The messages of an open file, each a list of segments, one chunk in memory at a time; an error
+    names the byte where one breaks off."""
     if framing == "flat":
         raw = stream.read()
         if not raw or len(raw) % 8:
             raise ValueError(f"{name} is not a whole number of words")
         yield [raw]
         return
-    read, at = stream.read if framing == "standard" else _unpacked(stream), 0
-    while head := read(4):
-        def take(n: int) -> bytes:
-            raw = read(n)
-            if len(raw) < n:
-                raise ValueError(f"{name}: the frame at byte {at} breaks off")  # noqa: B023
-            return raw
-
-        if len(head) < 4:
-            raise ValueError(f"{name}: the frame at byte {at} breaks off")
-        n = struct.unpack("<I", head)[0] + 1
+    chunks, buffer, pos, at = _chunks(stream, framing), b"", 0, 0  # at: of buffer[0] in the file
+
+    def need(n: int) -> bool:
+        """Whether ``n`` bytes follow; reads on until they do."""
+        nonlocal buffer, pos, at
+        if len(buffer) - pos >= n:
+            return True
+        parts, size = [buffer[pos:]], len(buffer) - pos
+        at += pos
+        while size < n and (more := next(chunks, None)) is not None:
+            parts.append(more)
+            size += len(more)
+        buffer, pos = b"".join(parts), 0
+        return size >= n
+
+    while need(1):
+        broken = f"{name}: the frame at byte {at + pos} breaks off"
+        if not need(4):
+            raise ValueError(broken)
+        n = struct.unpack_from("<I", buffer, pos)[0] + 1
         if n > MAX_SEGMENTS:
-            raise ValueError(f"{name}: the frame at byte {at} names {n} segments")
-        table = take(8 * (n // 2 + 1) - 4)
-        sizes = struct.unpack_from(f"<{n}I", table)
+            raise ValueError(f"{name}: the frame at byte {at + pos} names {n} segments")
+        head = 8 * (n // 2 + 1)
+        if not need(head):
+            raise ValueError(broken)
+        sizes = struct.unpack_from(f"<{n}I", buffer, pos + 4)
         if sum(sizes) > MAX_WORDS:
-            raise ValueError(f"{name}: the frame at byte {at} names {sum(sizes)} words")
-        yield [take(8 * s) for s in sizes]
-        at += 4 + len(table) + 8 * sum(sizes)
+            raise ValueError(f"{name}: the frame at byte {at + pos} names {sum(sizes)} words")
+        if not need(head + 8 * sum(sizes)):
+            raise ValueError(broken)
+        pos += head
+        segments = []
+        for size in sizes:
+            segments.append(buffer[pos : pos + 8 * size])
+            pos += 8 * size
+        yield segments
+
+
+ROWS, BYTES = 10_000, 1 << 24  # of a batch that is handed on
+_ARROW = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("segments", pa.list_(pa.binary()))])
+
+
+def batches_of(stream, framing: str, name: str):
+    """The rows of an open file as Arrow batches."""
+    held, size, first = [], 0, 0
+
+    def batch() -> pa.RecordBatch:
+        seqs = pa.array(range(first, first + len(held)), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), seqs, pa.array(held, pa.list_(pa.binary()))], schema=_ARROW)
+
+    for segments in frames_of(stream, framing, name):
+        held.append(segments)
+        size += sum(map(len, segments))
+        if len(held) >= ROWS or size >= BYTES:
+            yield batch()
+            held, size, first = [], 0, first + len(held)
+    if held:
+        yield batch()
+
+
+def packed_frames(batches, framing: str):
+    """Arrow batches of rows as the bytes of a file, some frames at a time."""
+    form = lambda frames: b"".join(pack_many(frames) if framing == "packed" else frames)
+    for batch in batches:
+        column, held, size = batch.column(batch.schema.get_field_index("segments")), [], 0
+        for first in range(0, len(column), 256):
+            frames = [join_frame(segments) for segments in column.slice(first, 256).to_pylist()]
+            held += frames
+            size += sum(map(len, frames))
+            if size >= CHUNK:
+                yield form(held)
+                held, size = [], 0
+        yield form(held)
 
 
 def join_frame(segments: list[bytes]) -> bytes:
@@ -104,8 +151,7 @@ def read_frames(spark: SparkSession, path: str, framing: str = "standard") -> Da
     def split(batches):
         for batch in batches:
             for name, raw in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                rows = [{"file": name, "seq": k, "segments": s} for k, s in enumerate(frames_of(io.BytesIO(raw), framing, name))]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("seq", pa.int64()), ("segments", pa.list_(pa.binary()))]))
+                yield from batches_of(io.BytesIO(raw), framing, name)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, SCHEMA)
 
@@ -127,11 +173,10 @@ class FramedReader(DataSourceReader):
     def read(self, partition):
         where, _ = _filesystem(self.path)
         with where.open_input_stream(partition.path) as f:
-            for seq, segments in enumerate(frames_of(f, self.framing, partition.path)):
-                yield partition.path, seq, segments
+            yield from batches_of(f, self.framing, partition.path)
 
 
-class FramedWriter(DataSourceWriter):
+class FramedWriter(DataSourceArrowWriter):
     """Tasks write below ``_temporary``; only what the commit names moves to its place, so attempts
     that failed or came twice leave nothing that a reader takes."""
 
@@ -144,9 +189,8 @@ class FramedWriter(DataSourceWriter):
         name = f"{path}/_temporary/{self.run}/part-{uuid.uuid4().hex}.frames"
         where.create_dir(name.rpartition("/")[0], recursive=True)
         with where.open_output_stream(name) as f:
-            for row in iterator:
-                frame = join_frame([bytes(s) for s in row["segments"]])
-                f.write(pack_words(frame) if self.framing == "packed" else frame)
+            for part in packed_frames(iterator, self.framing):
+                f.write(part)
         return Written(name)
 
     def commit(self, messages):

@@ -306,3 +306,39 @@ def test_backslashes_before_other_escapes(spark):
     assert got == list(zip(quoted, plain))
     bad = ['"\\\\\\"', '"\\q"', '"\\1"', '"\\x4"', '"', 'ab', '"\\777"']
     assert [r[0] for r in values(spark, [(t,) for t in bad], "t string", en.unquote(F.col("t")))] == [None] * len(bad)
+
+
+def test_unpacking_of_long_inputs_at_once():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: bytes(rng.choice((0, 0, 7, 255)) if kind == 2 else 255 * kind for kind in [rng.choice((0, 1, 2))] for _ in range(8))
+    raw = b"".join(word() * rng.choice((1, 1, 2, 300)) for _ in range(3000))
+    packed = fr.pack_words(raw)
+    assert fr.unpack_many(packed) == (raw, len(packed))
+    # What is cut off is left for the next call.
+    for cut in rng.sample(range(len(packed)), 50):
+        out, used = fr.unpack_many(packed[:cut])
+        assert used <= cut and raw.startswith(out) and out + fr.unpack_words(packed[used:]) == raw
+
+
+def test_frames_are_read_and_written_many_at_once(monkeypatch):
+    """Chunks end anywhere in a frame, and packing takes many frames in a call."""
+    import io
+
+    import pyarrow as pa
+
+    from loomwork.sources import frames as so
+
+    calls = []
+    pack_many = fr.pack_many
+    monkeypatch.setattr(so, "pack_many", lambda frames: calls.append(len(frames)) or pack_many(frames))
+    rows = [[bytes([k % 7, 0, 0, k % 5, 1, 2, 3, 4]) * (k % 4), bytes(8 * (k % 3))][: 1 + k % 2] for k in range(25_000)]
+    table = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.binary()))], ["segments"])
+    for framing in ("packed", "standard"):
+        raw = b"".join(so.packed_frames([table], framing))
+        for chunk in (11, 1 << 20):
+            monkeypatch.setattr(so, "CHUNK", chunk)
+            got = list(so.batches_of(io.BytesIO(raw), framing, "f"))
+            assert [s for b in got for s in b["segments"].to_pylist()] == rows and [n for b in got for n in b["seq"].to_pylist()] == list(range(len(rows)))
+    assert len(calls) == 1
