@@ -108,9 +108,17 @@ def _shingle_counts(s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def _often_here(size: int, share: float):
-    """Shingles that more than half of ``share`` of a block's documents hold, and how many do."""
+    """Shingles that more than half of ``share`` of a block's documents hold, and how many do.
+
+    A block is named only when the next one is full, and what is left at the end joins the last: a
+    rest of a few texts would name all that they hold."""
+
+    def named(block, docs):
+        s, c = _counts(block)
+        return _shingle_counts(s[c >= share * docs / 2], c[c >= share * docs / 2])
 
     def run(batches):
+        last, last_docs = [np.zeros(0, U)], 0
         held, n, docs = [np.zeros(0, U)], 0, 0
         for batch in batches:
             for part in row_slices(batch, 0):
@@ -118,11 +126,11 @@ def _often_here(size: int, share: float):
                 held.append(s)
                 n, docs = n + len(s), docs + part.num_rows
                 if n >= BLOCK:
-                    s, c = _counts(held)
-                    yield _shingle_counts(s[c >= share * docs / 2], c[c >= share * docs / 2])
+                    if last_docs:
+                        yield named(last, last_docs)
+                    last, last_docs = held, docs
                     held, n, docs = [np.zeros(0, U)], 0, 0
-        s, c = _counts(held)
-        yield _shingle_counts(s[c >= share * docs / 2], c[c >= share * docs / 2])
+        yield named(last + held, last_docs + docs)
 
     return run
 

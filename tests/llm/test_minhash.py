@@ -146,3 +146,17 @@ def test_unfinished_components_raise(spark):
     assert {r.component for r in components(chain).collect()} == {0}
     with pytest.raises(RuntimeError):
         components(chain, rounds=1)
+
+
+def test_the_rest_of_a_task_names_only_frequent_shingles(monkeypatch):
+    """Also where the last texts of a task fall into a block that they do not fill."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "BLOCK", 4000)
+    texts = [f"these five words come often w{k} x{k} y{k} z{k} v{k} u{k}" for k in range(590)]
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10])], ["t"]) for k in range(0, len(texts), 10))
+    found = pa.Table.from_batches(list(minhash._often_here(5, 0.05)(batches())))
+    named = {}
+    for r in found.to_pylist():
+        named[r["s"]] = named.get(r["s"], 0) + r["n"]
+    assert list(named.values()) == [590]
