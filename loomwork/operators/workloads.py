@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arithmetic import safe_divide, safe_modulus, wrapping_add, wrapping_multiply, wrapping_subtract
 from ..plans.staging import staged
@@ -52,29 +53,31 @@ def evaluate_trees(nodes: DataFrame) -> DataFrame:
     """Values of expression trees kept as rows: ``tree``, ``node``, ``parent``, ``side`` (left or
     right), ``op`` (null for a leaf), ``value``; the root has no parent. All nodes whose two
     operands are known are evaluated together, so a round is one join however many trees there
-    are, and there are as many rounds as the deepest tree has levels, without a bound. A null
-    operand is a value like others. Raises where a root cannot be evaluated, as an operand is
-    missing. Returns ``tree, value``."""
-    cols = ["tree", "node", "value", "parent", "side"]
-    nodes = staged(nodes.select(*cols, "op"), "tree-nodes")
-    known = nodes.where("op is null").select(*cols)
-    inner = nodes.where("op is not null").select("tree", "node", "op", "parent", "side")
+    are, and there are as many rounds as the deepest tree has levels, without a bound. A round
+    reads and writes only nodes that wait for an operand, so a tree costs its own levels, not
+    those of the deepest. A null operand is a value like others. Raises where a root cannot be
+    evaluated, as an operand is missing. Returns ``tree, value``."""
+    sides, place = ["left", "right"], ["tree", "node", "parent", "side"]
+    nodes = staged(nodes.select(*place, "op", "value"), "tree-nodes")
+    operand = T.StructType([T.StructField("value", nodes.schema["value"].dataType)])
+    known = nodes.where("op is null").select(*place, "value")
+    waiting = nodes.where("op is not null").select(*place, "op", *(F.lit(None).cast(operand).alias(s) for s in sides))
     roots = known.where("parent is null").select("tree", "value")
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
     while True:
-        pairs = known.where("parent is not null").groupBy("tree", "parent").agg(*(F.max(F.when(F.col("side") == s, F.struct("value"))).alias(s) for s in ("left", "right")))
-        joined = inner.join(pairs.withColumnRenamed("parent", "of"), (inner["node"] == F.col("of")) & (inner["tree"] == pairs["tree"]))
-        both = F.col("left").isNotNull() & F.col("right").isNotNull()
-        done = F.struct(inner["node"].alias("node"), _apply(F.col("op"), F.col("left.value"), F.col("right.value")).alias("value"), inner["parent"].alias("parent"), inner["side"].alias("side"))
-        half = F.struct(F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.coalesce("left", "right").getField("value").alias("value"), F.col("of").alias("parent"), F.when(F.col("left").isNotNull(), "left").otherwise("right").alias("side"))
-        known = staged(joined.select(inner["tree"], F.when(both, done).otherwise(half).alias("x")).select("tree", "x.*"), "tree-level")
-        evaluated, waiting = known.agg(F.count("node"), F.count("parent")).first()
-        if evaluated:
+        new = known.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(*(F.max(F.when(F.col("side") == s, F.struct("value"))).alias(f"new_{s}") for s in sides))
+        met = waiting.join(new, ["tree", "node"], "left").select(*place, "op", *(F.greatest(s, f"new_{s}").alias(s) for s in sides))
+        met = staged(met, "tree-level")
+        known = met.where(both).select(*place, _apply(F.col("op"), F.col("left.value"), F.col("right.value")).alias("value"))
+        waiting = met.where(~both)
+        evaluated, ends, halves = met.agg(F.count_if(both), F.count_if(both & F.col("parent").isNull()), F.count_if(F.col("left").isNotNull() != F.col("right").isNotNull())).first()
+        if ends:
             roots = roots.unionByName(known.where("parent is null").select("tree", "value"))
-        if not evaluated or not waiting:
+        if evaluated == ends:
             break
     missing = nodes.where("parent is null").count() - roots.count()
-    if missing or waiting:
-        raise ValueError(f"{missing} trees have no value, {waiting} operands lack their partner")
+    if missing or halves:
+        raise ValueError(f"{missing} trees have no value, {halves} operands lack their partner")
     return roots
 
 

@@ -342,3 +342,28 @@ def test_frames_are_read_and_written_many_at_once(monkeypatch):
             got = list(so.batches_of(io.BytesIO(raw), framing, "f"))
             assert [s for b in got for s in b["segments"].to_pylist()] == rows and [n for b in got for n in b["seq"].to_pylist()] == list(range(len(rows)))
     assert len(calls) == 1
+
+
+def test_evaluated_nodes_are_not_read_again(spark, monkeypatch):
+    """A deep tree among shallow ones: after the first round only waiting nodes are read."""
+    seen, staged = [], wl.staged
+
+    def watched(df, name):
+        seen.append((name, df.inputFiles(), df.count()))
+        return staged(df, name)
+
+    monkeypatch.setattr(wl, "staged", watched)
+    leaf = lambda t, n, p, side, v: (t, n, p, side, None, v)
+    rows = [x for t in range(1, 9) for x in (leaf(t, 1, 3, "left", t), leaf(t, 2, 3, "right", None if t == 8 else 2), (t, 3, None, None, "add", None))]
+    rows += [leaf(0, 0, 11, "left", 1)] + [x for k in range(11, 16) for x in (leaf(0, k + 100, k, "right", 1), (0, k, k + 1 if k < 15 else None, "left" if k < 15 else None, "add", None))]
+    df = spark.createDataFrame(rows, "tree int, node int, parent int, side string, op string, value int")
+    assert {r.tree: r.value for r in wl.evaluate_trees(df).collect()} == {0: 6, 8: None, **{t: t + 2 for t in range(1, 8)}}
+    levels = [(files, n) for name, files, n in seen if name == "tree-level"]
+    assert [n for _, n in levels] == [13, 4, 3, 2, 1]
+    assert not any("tree-nodes" in f for files, _ in levels[1:] for f in files)
+
+
+def test_trees_that_lack_an_operand_are_refused(spark):
+    rows = [(1, 1, 3, "left", None, 5), (1, 3, None, None, "add", None)]
+    with pytest.raises(ValueError, match="1 trees have no value, 1 operands"):
+        wl.evaluate_trees(spark.createDataFrame(rows, "tree int, node int, parent int, side string, op string, value int"))
