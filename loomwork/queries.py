@@ -318,11 +318,14 @@ def json_typed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = T.StructType([T.StructField("label", T.StringType()), T.StructField("list", T.ArrayType(T.IntegerType()))])
     fields = [("number", T.LongType()), ("refused", T.LongType()), ("fraction", T.LongType()), ("flag", T.BooleanType()), ("quoted_flag", T.BooleanType()), ("exact", T.LongType()), ("real", T.DoubleType()), ("endless", T.DoubleType()), ("data", T.BinaryType()), ("beyond", T.BinaryType()), ("inner", inner)]
     schema = T.StructType([T.StructField(n, k) for n, k in fields])
-    e = table(spark, sf_dir, "events").withColumn("first", F.ascii("event_type"))
-    form = '{"number":"%d","refused":"1, other = 2","fraction":1.5,"flag":true,"quoted_flag":"true","exact":9007199254740993,"real":%s,"endless":"Infinity","data":[%d,255],"beyond":[1,256],"unknown":[{}],"inner":{"list":[1,"x","%d"],"label":"%s"}}'
-    e = e.withColumn("t", F.format_string(form, "user_id", (F.col("user_id") / 4).cast("string"), "first", F.col("user_id") % 7, "event_type"))
-    twice = F.when(F.col("event_id") % 2 == 1, F.replace("t", F.lit('"flag":true'), F.lit('"flag":true,"flag":false'))).otherwise(F.col("t"))
-    e = e.select("event_id", js.decode(F.col("t"), schema).alias("d"), js.decode(twice, schema).isNotNull().alias("accepted"))
+    first = F.concat(F.encode(F.substring("event_type", 1, 1), "UTF-8"), F.lit(b"\xff"))
+    given = F.struct(F.col("user_id").alias("number"), (F.col("user_id") / 4).alias("real"), first.alias("data"), F.struct((F.col("user_id") % 7).alias("list"), F.col("event_type").alias("label")).alias("inner"))
+    e = table(spark, sf_dir, "events").select("event_id", given.alias("r"))
+    forms = {"real": lambda x: x.cast("string"), "inner.list": lambda x: F.concat(F.lit('[1,"x","'), F.coalesce(x.cast("string"), F.lit("")), F.lit('"]'))}
+    fixed = '{"refused":"1, other = 2","fraction":1.5,"flag":true,"quoted_flag":"true","exact":9007199254740993,"endless":"Infinity","beyond":[1,256],"unknown":[{}],'
+    e = e.withColumn("t", F.concat(F.lit(fixed), F.substring(js.encode(F.col("r"), e.schema["r"].dataType, forms), 2, 1 << 30)))
+    twice = F.when(F.col("event_id") % 2 != 0, F.replace("t", F.lit('"flag":true'), F.lit('"flag":true,"flag":false'))).otherwise(F.col("t"))
+    e = e.select("event_id", js.decode(F.col("t"), schema).alias("d"), F.when(F.col("event_id").isNotNull(), js.decode(twice, schema).isNotNull()).alias("accepted"))
     return e.select("event_id", "d.*", "accepted").withColumns({"label": F.col("inner.label"), "list": F.col("inner.list"), "data": en.to_hex(F.col("data")), "beyond": en.to_hex(F.col("beyond"))}).drop("inner")
 
 

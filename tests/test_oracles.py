@@ -48,6 +48,19 @@ def test_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_typed_decode_of_odd_events(spark, tmp_path):
+    """Nulls, keys below zero, and texts that JSON escapes or that begin with no or several bytes."""
+    texts = ["click", None, "", "é1", "€", "😀x", 'a"b', "a\\b", "\nx", "\x01", "\x7f\x85", '"flag":true', "%s", "null", "</x>", "{}"]
+    numbers = [5, None, 0, -9, (1 << 63) - 1, -(1 << 63), 40_000_000]
+    events = [(i if i else None, numbers[i % len(numbers)], t) for i, t in enumerate(texts * len(numbers), -20)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(queries.SQL["json_typed_decode"])
+    got = queries.QUERIES["json_typed_decode"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want.fetchall()))
+
+
 def test_longest_first_by_hand(spark):
     items = [(r.lang, r.doc_id, r.n_chars, r.bin) for r in queries.longest_first_bins(spark, SF).collect()]
     for lang in {i[0] for i in items}:
